@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, secrets, toxicity
+from . import ann, langid, near_dedup, packing, pieces, pii, secrets, toxicity, vector_dedup, warc
 from .common import crc_mod, table
 
 #: Where the public tokenizer files are; None: the installed package's folder.
@@ -39,10 +39,30 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def toxic_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the labelled rows that may be learned from; a
     document with labels that differ counts as toxic."""
@@ -60,7 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_packing, op3_language_id, op6_personal_data, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_packing, op3_language_id, op4_nearest_neighbours, op5_warc, op6_personal_data,
+        op7_sentencepiece, op8_vector_near_dedup, op9_near_dedup, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
