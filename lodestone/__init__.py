@@ -1,0 +1 @@
+"""Property-graph analytics for code-like systems, as Spark DataFrames."""
