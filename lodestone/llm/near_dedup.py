@@ -6,11 +6,12 @@ sketch entry takes the ``chosen`` k-mers with the smallest hashes under one hash
 function and keeps their order in the text, so it agrees only where the content
 and its order do. Entries are banded; documents that share a band are candidates.
 
-A pair is linked if its similarity is 0.8 or more: both texts are aligned word by
-word inside a band, and the similarity is the number of five-word runs that the
-alignment matches over the number in either text. It is at most the Jaccard
-similarity of the k-mers, which is checked first, and equals it where no passage
-has moved.
+A pair is linked if its similarity is 0.8 or more: both texts are aligned inside a
+band, and the similarity is the number of five-word runs that the alignment matches
+over the number in either text. It is at most the Jaccard similarity of the k-mers,
+which is checked first, and equals it where no passage has moved. Texts that repeat
+themselves are compared twice, with all k-mers and with the first occurrence of
+each, and the larger similarity counts; they are sketched both ways too.
 
 Copies and hubs: documents with equal word sequences form one class, represented
 by its smallest id, and only representatives are compared. In a band's group each
@@ -127,7 +128,8 @@ def bands_of(entries: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, bands, entries) of every document with a word. key: a 128-bit
-    hash of the word sequence; entries: 16 bits of each sketch entry."""
+    hash of the word sequence; entries: 16 bits of each sketch entry, with all k-mers
+    and with the first of each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     id_type = rows.schema[0].dataType.simpleString()
 
@@ -138,11 +140,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = word_codes(t.as_py(), hashes)
                 if len(codes):
-                    e = order_minhash(labelled(kmers(codes)), BANDS * ROWS)
+                    h = kmers(codes)
+                    e = order_minhash(labelled(h), BANDS * ROWS)
+                    once = first_of_each(h)
+                    f = e if len(once) == len(h) else order_minhash(once, BANDS * ROWS)
                     ids.append(i)
                     keys.append(xxhash.xxh3_128_digest(codes.tobytes()))
-                    bands.append(bands_of(e))
-                    entries.append((e & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                    bands.append(np.unique(np.concatenate([bands_of(e), bands_of(f)])))
+                    entries.append((np.concatenate([e, f]) & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(entries, pa.binary())],
                 names=["id", "key", "bands", "entries"],
@@ -156,26 +161,42 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 ENTRIES_SHARED = 0.3
 
 
+def first_of_each(h: np.ndarray) -> np.ndarray:
+    """The first occurrence of each value, in order."""
+    at = np.unique(h, return_index=True)[1]
+    at.sort()
+    return h[at]
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Aligned k-mer similarity of two word-code sequences; 0 where it is certain
-    to be under ``least``."""
+    """Aligned k-mer similarity of two word-code sequences, the larger of all k-mers
+    and first occurrences; 0 where it is certain to be under ``least``."""
     if not len(a) or not len(b):
         return 0.0
     if len(a) < KMER or len(b) < KMER:
         return float(len(a) == len(b) and bool((a == b).all()))
     ka, kb = kmers(a), kmers(b)
+    best = _aligned_share(ka, kb, least)
+    if best < least:
+        ua, ub = first_of_each(ka), first_of_each(kb)
+        if len(ua) < len(ka) or len(ub) < len(kb):
+            best = max(best, _aligned_share(ua, ub, least))
+    return best
+
+
+def _aligned_share(ka: np.ndarray, kb: np.ndarray, least: float) -> float:
     if min(len(ka), len(kb)) < least * max(len(ka), len(kb)):
         return 0.0
     la, lb = labelled(ka), labelled(kb)
     both = len(np.intersect1d(la, lb, assume_unique=True))
     if both < least * (len(la) + len(lb) - both) - 1e-9:
         return 0.0
-    matched = aligned_kmers(a, b, ka, kb)
+    matched = aligned_kmers(ka, kb)
     return matched / (len(ka) + len(kb) - matched)
 
 
-def aligned_kmers(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> int:
-    """k-mers matched by an alignment of ``a`` and ``b`` inside a band.
+def aligned_kmers(ka: np.ndarray, kb: np.ndarray) -> int:
+    """k-mers matched by an alignment of two k-mer sequences inside a band.
 
     K-mers that occur once in each text anchor the alignment; the longest chain of
     anchors in both orders is kept, and between neighbouring anchors the gaps are
@@ -242,8 +263,10 @@ def banded_lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row.max())
 
 
-def _agree(entries: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (entries == one[None, :]).mean(axis=1) >= ENTRIES_SHARED
+def _agree(entries: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Row-wise: sketches agree in one of their two halves."""
+    same = (entries == other).reshape(len(entries), 2, -1).mean(axis=2)
+    return same.max(axis=1) >= ENTRIES_SHARED
 
 
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
@@ -308,7 +331,7 @@ def _residual(members: DataFrame, block: int = 2_000) -> DataFrame:
         for i in left:
             js = right[ids[right] > ids[i]] if p == q else right
             js = js[labels[js] != labels[i]]
-            js = js[_agree(e[js], e[i])] if len(js) else js
+            js = js[_agree(e[js], e[i][None, :])] if len(js) else js
             out_a += [min(ids[i], ids[j]) for j in js]
             out_b += [max(ids[i], ids[j]) for j in js]
         kind = table.schema.field("id").type
@@ -358,8 +381,7 @@ def _sketch_agrees(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _unpacked(batch.column("ea"))
-                keep = (x == _unpacked(batch.column("eb"))).mean(axis=1) >= ENTRIES_SHARED
+                keep = _agree(_unpacked(batch.column("ea")), _unpacked(batch.column("eb")))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ea", "eb").mapInArrow(run, f"a {id_type}, b {id_type}")
