@@ -233,8 +233,8 @@ def impact_query(g: Graph) -> DataFrame:
     "a6_impacted_files",
     _up(2)
     + f""", crossed AS (SELECT DISTINCT r.root, e.id, e.repository, e.path FROM reached r JOIN edges e ON e.to_id = r.id AND e.kind IN ({quoted(IMPACT_RELATIONS)}) WHERE r.depth < 2),
-rows_ AS (SELECT r.root, n.repository, n.path, r.id AS node_id, NULL AS edge_id FROM reached r JOIN nodes n ON n.id = r.id WHERE r.id <> r.root AND n.path <> ''
-  UNION ALL SELECT root, repository, path, NULL, id FROM crossed WHERE path <> '')
+rows_ AS (SELECT r.root, n.repository, n.path, r.id AS node_id, CAST(NULL AS VARCHAR) AS edge_id FROM reached r JOIN nodes n ON n.id = r.id WHERE r.id <> r.root AND n.path <> ''
+  UNION ALL SELECT root, repository, path, CAST(NULL AS VARCHAR), id FROM crossed WHERE path <> '')
 SELECT root, repository, path, count(DISTINCT node_id) AS n_nodes, count(DISTINCT edge_id) AS n_edges FROM rows_ GROUP BY ALL""",
 )
 def impacted_files(g: Graph) -> DataFrame:
@@ -277,9 +277,9 @@ def failure_query(g: Graph) -> DataFrame:
     "g13_test_coverage",
     """, roles AS (SELECT id, CASE WHEN kind = 'test' THEN 'test' WHEN test_role IN ('helper', 'lifecycle', 'scope') THEN 'helper' ELSE 'code' END AS role FROM nodes),
 step AS (SELECT DISTINCT e.from_id AS a, e.to_id AS b, r.role FROM edges e JOIN roles r ON r.id = e.to_id WHERE e.kind IN ('tests', 'calls', 'references')),
-walk AS (SELECT id AS root, id AS at, [id] AS path, 0 AS depth, 'helper' AS role FROM roles WHERE role = 'test'
-  UNION ALL SELECT w.root, s.b, list_append(w.path, s.b), w.depth + 1, s.role FROM walk w JOIN step s ON s.a = w.at WHERE w.role = 'helper' AND NOT list_contains(w.path, s.b) AND w.depth < 8)
-SELECT root, at AS id, CAST(min(depth) AS INT) AS depth FROM walk WHERE role = 'code' GROUP BY root, at""",
+walk AS (SELECT id AS root, id AS here, [id] AS path, 0 AS depth, 'helper' AS role FROM roles WHERE role = 'test'
+  UNION ALL SELECT w.root, s.b, list_append(w.path, s.b), w.depth + 1, s.role FROM walk w JOIN step s ON s.a = w.here WHERE w.role = 'helper' AND NOT list_contains(w.path, s.b) AND w.depth < 8)
+SELECT root, here AS id, CAST(min(depth) AS INT) AS depth FROM walk WHERE role = 'code' GROUP BY root, here""",
 )
 def coverage_query(g: Graph) -> DataFrame:
     return reports.test_coverage(g.edges, g.nodes, _roots(g, "test"), limit=1000)[0].select("root", "id", "depth")
