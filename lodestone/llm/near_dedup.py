@@ -16,9 +16,11 @@ each, and the larger similarity counts; they are sketched both ways too.
 Copies and hubs: documents with equal word sequences form one class, represented
 by its smallest id, and only representatives are compared. In a band's group each
 representative is first compared with the group's smallest one (a star, not all
-pairs); after that only pairs whose components still differ are compared, in
-blocks of bounded size, so a large group of near copies costs rows in proportion
-to its size and no link between different texts is lost.
+pairs). After that only pairs whose components still differ are compared, where the
+group lies, in blocks of bounded rows and bytes; a pair is compared in the first
+band that it shares, and not at all once other links of the block connect it. A
+block returns the edges of a forest, so a large group of near copies costs rows in
+proportion to its size and no link between different texts is lost.
 
 Results for odd input: a null text and a text without words link with nothing;
 rows that repeat an id share its result; an empty table gives no rows.
@@ -128,8 +130,8 @@ def bands_of(entries: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, bands, entries) of every document with a word. key: a 128-bit
-    hash of the word sequence; entries: 16 bits of each sketch entry, with all k-mers
-    and with the first of each."""
+    hash of the word sequence; bands and entries (16 bits of each) come twice, with
+    all k-mers and with the first of each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     id_type = rows.schema[0].dataType.simpleString()
 
@@ -146,7 +148,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     f = e if len(once) == len(h) else order_minhash(once, BANDS * ROWS)
                     ids.append(i)
                     keys.append(xxhash.xxh3_128_digest(codes.tobytes()))
-                    bands.append(np.unique(np.concatenate([bands_of(e), bands_of(f)])))
+                    bands.append(np.concatenate([bands_of(e), bands_of(f)]))
                     entries.append((np.concatenate([e, f]) & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(entries, pa.binary())],
@@ -168,26 +170,32 @@ def first_of_each(h: np.ndarray) -> np.ndarray:
     return h[at]
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Aligned k-mer similarity of two word-code sequences, the larger of all k-mers
-    and first occurrences; 0 where it is certain to be under ``least``."""
-    if not len(a) or not len(b):
+class Prepared:
+    """What comparing a text takes, worked out once."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.all = kmers(codes)
+        self.labelled = labelled(self.all)
+        self.once = first_of_each(self.all) if len(codes) >= KMER else self.all
+
+
+def similarity(a: Prepared, b: Prepared, least: float = LEAST) -> float:
+    """Aligned k-mer similarity of two texts, the larger of all k-mers and first
+    occurrences; 0 where it is certain to be under ``least``."""
+    if not len(a.codes) or not len(b.codes):
         return 0.0
-    if len(a) < KMER or len(b) < KMER:
-        return float(len(a) == len(b) and bool((a == b).all()))
-    ka, kb = kmers(a), kmers(b)
-    best = _aligned_share(ka, kb, least)
-    if best < least:
-        ua, ub = first_of_each(ka), first_of_each(kb)
-        if len(ua) < len(ka) or len(ub) < len(kb):
-            best = max(best, _aligned_share(ua, ub, least))
+    if len(a.codes) < KMER or len(b.codes) < KMER:
+        return float(np.array_equal(a.codes, b.codes))
+    best = _aligned_share(a.all, b.all, a.labelled, b.labelled, least)
+    if best < least and (len(a.once) < len(a.all) or len(b.once) < len(b.all)):
+        best = max(best, _aligned_share(a.once, b.once, a.once, b.once, least))
     return best
 
 
-def _aligned_share(ka: np.ndarray, kb: np.ndarray, least: float) -> float:
+def _aligned_share(ka: np.ndarray, kb: np.ndarray, la: np.ndarray, lb: np.ndarray, least: float) -> float:
     if min(len(ka), len(kb)) < least * max(len(ka), len(kb)):
         return 0.0
-    la, lb = labelled(ka), labelled(kb)
     both = len(np.intersect1d(la, lb, assume_unique=True))
     if both < least * (len(la) + len(lb) - both) - 1e-9:
         return 0.0
@@ -273,29 +281,43 @@ def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. Each text is fetched once per
-    pair side; pairs are verified a few at a time."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(ends, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+#: A fixed number of hash buckets: the broadcast that thins the texts out before
+#: they are shuffled has at most so many rows.
+BUCKETS = 1 << 18
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t) of the documents in ``ids`` (id). Only texts in a hash bucket of a
+    wanted id are shuffled."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+    ids = ids.select("id").distinct()
+    some = ids.select(bucket.alias("_b")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    near = texts.withColumn("_b", bucket).join(F.broadcast(some), "_b", "left_semi").drop("_b")
+    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    texts = stored(texts_of(docs, ends, id_col, text_col), "texts")
     id_type = pairs.schema["a"].dataType.simpleString()
     both = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+        .join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(100_000)
-        known: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        last: tuple[str | None, Prepared | None] = (None, None)
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
                 left = ta.as_py()
-                if left != known[0]:
-                    known = (left, word_codes(left, hashes))
-                keep.append(similarity(known[1], word_codes(tb.as_py(), hashes)) >= LEAST)
+                if left != last[0]:  # pairs of one hub follow each other
+                    last = (left, Prepared(word_codes(left, hashes)))
+                keep.append(similarity(last[1], Prepared(word_codes(tb.as_py(), hashes))) >= LEAST)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, f"a {id_type}, b {id_type}")
@@ -307,37 +329,51 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def _residual(members: DataFrame, block: int = 2_000) -> DataFrame:
-    """Pairs of a band group whose components differ and whose sketches agree.
-    ``members``: band, id, label, entries. Groups over ``block`` rows are dealt to
-    pairs of blocks."""
+def _residual(members: DataFrame, block_rows: int = 1_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """Links between members of a band group whose components differ: (a, b), a
+    forest for each pair of blocks. ``members``: band, id, label, entries, bands, t.
+    Groups over a block's bounds are dealt to pairs of blocks."""
     id_type = members.schema["id"].dataType.simpleString()
-    per = members.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    # block * 2: rows are dealt by hash, so blocks are only about equal.
-    mixed_groups = per.where("l0 <> l1").select("band", F.ceil(F.col("n") / block).cast("int").alias("k"))
-    dealt = members.join(mixed_groups, "band").withColumn("x", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    placed = dealt.select(
-        "band", "id", "label", "entries", "x",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("x")).alias("p"), F.greatest(o, F.col("x")).alias("q")))).alias("t"),
-    ).select("band", "t.p", "t.q", "x", "id", "label", "entries")
+    per = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("s"))
+    k = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_bytes), F.lit(1)).cast("int")
+    dealt = members.join(per.select("band", k.alias("k")), "band").withColumn("x", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("x")).alias("p"), F.greatest(o, F.col("x")).alias("q")))
+    placed = dealt.withColumn("o", F.explode(others)).select("band", "o.p", "o.q", "x", "id", "label", "entries", "bands", "t")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels = np.array(table["id"].to_pylist(), object), np.array(table["label"].to_pylist(), object)
-        x = table["x"].to_numpy()
-        e = _unpacked(table["entries"])
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        left, right = np.flatnonzero(x == p), np.flatnonzero(x == q)
+        band, p, q = (table[c][0].as_py() for c in ("band", "p", "q"))
+        ids, labels = table["id"].to_pylist(), table["label"].to_pylist()
+        number = {v: i for i, v in enumerate(dict.fromkeys(labels))}
+        group = np.array([number[v] for v in labels])
+        e, x = _unpacked(table["entries"]), table["x"].to_numpy()
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), 2, -1)
+        texts, hashes, ready = table["t"], WordHashes(200_000), {}
+
+        def prepared(i: int) -> Prepared:
+            if i not in ready:
+                ready[i] = Prepared(word_codes(texts[i].as_py(), hashes))
+            return ready[i]
+
         out_a, out_b = [], []
+        left, right = np.flatnonzero(x == p), np.flatnonzero(x == q)
         for i in left:
-            js = right[ids[right] > ids[i]] if p == q else right
-            js = js[labels[js] != labels[i]]
-            js = js[_agree(e[js], e[i][None, :])] if len(js) else js
-            out_a += [min(ids[i], ids[j]) for j in js]
-            out_b += [max(ids[i], ids[j]) for j in js]
+            js = right[right > i] if p == q else right
+            js = js[group[js] != group[i]]
+            if len(js):
+                js = js[_agree(e[js], e[i][None, :])]
+            if len(js):
+                same = keys[js] == keys[i]
+                first = np.where(same, keys[i], np.iinfo(np.int64).max).reshape(len(js), -1).min(axis=1)
+                js = js[first == band]
+            for j in js:
+                if group[i] != group[j] and similarity(prepared(i), prepared(j)) >= LEAST:
+                    out_a.append(min(ids[i], ids[j]))
+                    out_b.append(max(ids[i], ids[j]))
+                    group[group == group[j]] = group[i]
         kind = table.schema.field("id").type
         return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
 
-    return placed.groupBy("band", "p", "q").applyInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return placed.groupBy("band", "p", "q").applyInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,20 +385,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = stored(
         sketch.groupBy("key").agg(F.min(F.struct("id", "bands", "entries")).alias("s")).select("s.id", "s.bands", "s.entries"), "reps"
     )
-    spread = reps.select("id", F.explode("bands").alias("band"))
+    spread = reps.select("id", F.explode(F.array_distinct("bands")).alias("band"))
     # Star: each member with its group's smallest id; hot groups aggregate map-side.
     groups = spread.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(spread.join(groups, "band").select("band", "id", "a"), "bands")
     star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     tested = stored(_sketch_agrees(star, reps), "pairs")
-    linked = stored(verified(tested, reps, docs, id_col, text_col), "linked")
+    linked = stored(verified(tested, docs, id_col, text_col), "linked")
     # Residual: what the stars left in different components.
     labels = stored(_labels(reps.select("id"), linked), "labels")
     members = shared.select("band", "id").join(labels, "id")
     open_groups = members.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
-    members = members.join(open_groups, "band").join(reps.select("id", "entries"), "id")
-    rest = _residual(members).join(tested, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), reps, docs, id_col, text_col), "linked")
+    members = stored(members.join(open_groups, "band"), "open")
+    texts = texts_of(docs, members, id_col, text_col)
+    known = reps.select("id", "entries", "bands").join(texts, "id")
+    more = stored(_residual(members.join(known, "id")), "linked")
     edges = linked.unionByName(more).unionByName(
         member_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     )

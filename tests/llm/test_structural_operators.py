@@ -160,7 +160,8 @@ def test_residual_links_what_stars_leave(spark):
     rows = [(i, " ".join(t), "", "", 1) for i, t in enumerate([a, b, c])]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     h = near_dedup.WordHashes()
-    sim = lambda x, y: near_dedup.similarity(near_dedup.word_codes(" ".join(x), h), near_dedup.word_codes(" ".join(y), h))
+    ready = lambda x: near_dedup.Prepared(near_dedup.word_codes(" ".join(x), h))
+    sim = lambda x, y: near_dedup.similarity(ready(x), ready(y))
     assert sim(a, b) >= 0.8 and sim(b, c) >= 0.8
     assert {r.component_id for r in got} == {0}
 
