@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,21 +54,61 @@ def load_config(text: str) -> dict:
     return data
 
 
+def list_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
+    """(uri, path, size, modified_ns) of every file outside ignored folders, hidden
+    files too (Spark's own file source leaves those and ``__init__.py`` out)."""
+    base = root.rstrip("/")
+    if "://" not in base or base.startswith("file://"):
+        top, out = base.removeprefix("file://"), []
+        for folder, folders, names in os.walk(top):
+            folders[:] = sorted(f for f in folders if f not in IGNORED)
+            for n in sorted(names):
+                full = os.path.join(folder, n)
+                if os.path.isfile(full) and not os.path.islink(full):
+                    st = os.stat(full)
+                    out.append((f"file://{os.path.abspath(full)}", os.path.relpath(full, top), st.st_size, st.st_mtime_ns))
+        return out
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, found, out = fs.getFileStatus(path).getPath().toString(), fs.listFiles(path, True), []
+    while found.hasNext():
+        f = found.next()
+        uri = f.getPath().toString()
+        here = uri[len(top) :].lstrip("/")
+        if not set(here.split("/")[:-1]) & set(IGNORED):
+            out.append((uri, here, f.getLen(), f.getModificationTime() * 1_000_000))
+    return out
+
+
 def read_files(spark: SparkSession, root: str, repository: str, include: list[str] | None = None, exclude: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(repository, path, content, size, modified_ns, hash, skipped): every file in
-    scope. Oversize and binary files are listed with a reason and no content. The
-    scan is Spark's, so any file system it reads will do."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    here = F.substring_index(F.col("path"), base.split("://")[-1].rstrip("/") + "/", -1)
-    rows = files.select(here.alias("path"), "content", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"))
-    ignored = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/"))), lambda p: p.isin(*IGNORED))
+    scope. The listing is the driver's, the reading the executors'. Oversize and
+    binary files are listed with a reason and no content."""
+    listed = spark.createDataFrame(list_files(spark, root), "uri string, path string, size long, modified_ns long")
     scope = in_scope(F.col("path"), include or [], exclude or []) | F.col("path").isin(*CONFIG_NAMES)
-    rows = rows.where(~ignored & scope)
-    skipped = F.when(F.col("size") > most_bytes, "oversize").when(F.instr(F.decode(F.substring("content", 1, 8000), "ISO-8859-1"), "\0") > 0, "binary")
-    rows = rows.withColumn("skipped", skipped)
-    text = F.when(F.col("skipped").isNull(), F.decode("content", "UTF-8"))
-    return rows.select(F.lit(repository).alias("repository"), "path", text.alias("content"), "size", "modified_ns", F.sha2("content", 256).alias("hash"), "skipped")
+    listed = listed.where(scope).repartition(max(1, spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            rows = []
+            for uri, path, size, modified in batch.itertuples(index=False):
+                content, digest, skipped = None, "", "oversize" if size > most_bytes else None
+                if skipped is None:
+                    try:
+                        fs, inner = pafs.FileSystem.from_uri(uri) if not uri.startswith("file://") else (pafs.LocalFileSystem(), uri.removeprefix("file://"))
+                        with fs.open_input_stream(inner, compression=None) as f:
+                            data = f.read()
+                        digest = hashlib.sha256(data).hexdigest()
+                        skipped = "binary" if b"\0" in data[:8000] else None
+                        content = data.decode("utf-8", "replace") if skipped is None else None
+                    except OSError:
+                        skipped = "unreadable"
+                rows.append((repository, path, content, size, modified, digest, skipped))
+            yield pd.DataFrame(rows, columns=["repository", "path", "content", "size", "modified_ns", "hash", "skipped"])
+
+    return listed.mapInPandas(run, "repository string, path string, content string, size long, modified_ns long, hash string, skipped string")
 
 
 def components(spark: SparkSession, files: DataFrame, repository: str, config: dict) -> tuple[DataFrame, DataFrame]:
