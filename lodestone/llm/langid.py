@@ -39,16 +39,18 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Model:
-    """Per word and per n-gram: a vector of log-probabilities by language."""
+    """Per word and per n-gram: a row of a table of log-probabilities by language,
+    centred on the languages' mean."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.langs = sorted(counts)
         k = len(self.langs)
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.word_rows = self.gram_rows = np.zeros((0, k), np.float32)
         if not k:
             return
-        self.words = self._logs([counts[g] for g in self.langs])
+        self.words, self.word_rows = self._logs([counts[g] for g in self.langs])
         per: list[list[Counter]] = [[Counter() for _ in range(k)] for _ in range(max(NGRAMS) + 1)]
         for j, g in enumerate(self.langs):
             for word, n in counts[g].items():
@@ -57,35 +59,34 @@ class Model:
                     c = per[size][j]
                     for i in range(len(padded) - size + 1):
                         c[padded[i : i + size]] += weight
+        tables = []
         for size in NGRAMS:
-            self.grams |= self._logs(per[size], least=2.0 if size > 3 else 0.0)
+            index, rows = self._logs(per[size], least=2.0 if size > 3 else 0.0)
+            self.grams |= {w: i + sum(map(len, tables)) for w, i in index.items()}
+            tables.append(rows)
+        self.gram_rows = np.vstack(tables)
 
     @staticmethod
-    def _logs(columns: list[dict], least: float = 0.0) -> dict[str, np.ndarray]:
+    def _logs(columns: list[dict], least: float = 0.0) -> tuple[dict[str, int], np.ndarray]:
         totals = np.array([sum(c.values()) for c in columns], float)
-        keys = {w for c in columns for w, n in c.items() if n >= least}
+        keys = sorted({w for c in columns for w, n in c.items() if n >= least})
         floor = 0.1
-        denominator = np.log(totals + floor * (len(keys) + 1))
-        return {
-            w: (np.log(np.array([c.get(w, 0.0) for c in columns]) + floor) - denominator).astype(np.float32)
-            for w in keys
-        }
+        counts = np.array([[c.get(w, 0.0) for c in columns] for w in keys], float).reshape(len(keys), len(columns))
+        rows = np.log(counts + floor) - np.log(totals + floor * (len(keys) + 1))
+        rows -= rows.mean(axis=1, keepdims=True)
+        return {w: i for i, w in enumerate(keys)}, rows.astype(np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         """Centred log-likelihoods of one word, by language."""
-        v = self.words.get(word)
-        if v is None:
-            padded = f"<{word}>"
-            for size in NGRAMS:
-                known = [
-                    g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i : i + size])) is not None
-                ]
-                if known:
-                    v = np.mean(known, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.langs), np.float32)
-        return v - v.mean()
+        at = self.words.get(word)
+        if at is not None:
+            return self.word_rows[at]
+        padded, find = f"<{word}>", self.grams.get
+        for size in NGRAMS:
+            known = [g for i in range(len(padded) - size + 1) if (g := find(padded[i : i + size])) is not None]
+            if known:
+                return self.gram_rows[known].sum(axis=0) / len(known)
+        return np.zeros(len(self.langs), np.float32)
 
 
 class Scorer:
@@ -96,27 +97,32 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        vector, rows = self.model.vector, []
+        vector, model = self.model.vector, self.model
+        self.rows = np.zeros((1024, len(model.langs)), np.float32)
+        scorer = self
 
         class Index(dict):
             def __missing__(self, word: str) -> int:
-                rows.append(vector(word))
-                self[word] = n = len(rows) - 1
+                n = len(self)
+                if n >= len(scorer.rows):
+                    scorer.rows = np.concatenate([scorer.rows, np.zeros_like(scorer.rows)])
+                scorer.rows[n] = vector(word)
+                self[word] = n
                 return n
 
-        self.rows, self.index = rows, Index()
+        self.index = Index()
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.rows) > self.remember:
+        if len(self.index) > self.remember:
             self._clear()
         # Repeated words count, but by the square root of how often they occur.
         counts = Counter(words)
         at = list(map(self.index.__getitem__, counts))
         weight = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-        total = weight @ np.array([self.rows[i] for i in at])
+        total = weight @ self.rows[at]
         total = total / math.sqrt(weight.sum())
         best = int(np.argmax(total))
         p = np.exp(total - total[best])
