@@ -6,8 +6,8 @@ text holds. The field labels words O, PHONE, SSN or IBAN from shape, length and
 the cue word before; it is trained on the small labelled table below and decoded
 by Viterbi over padded numpy batches. Its labels other than O are open only to
 words with a digit, so decoding splits exactly at the words without one and only
-runs of digit words are decoded. A decoded span counts if it keeps the form of its
-kind and overlaps no base span.
+runs of digit words are decoded. Among neighbours of one label every span counts that
+keeps the form of its kind and overlaps no base span.
 
 Results for odd input: a null text is the empty text; offsets are code points, end
 exclusive; repeated rows are scanned each.
@@ -15,9 +15,11 @@ exclusive; repeated rows are scanned each.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -293,6 +295,81 @@ def _iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+# Fixed value: no form is longer than this many characters.
+LONGEST_FORM = 44
+NUMBER_START = re.compile(r"(?<![^\W_])\(?[A-Z0-9]")
+
+
+def _starts(text: str, words: list[tuple[int, int]], form: re.Pattern) -> list[int]:
+    """Where spans may start: at a number's first character, or where the form is
+    first met in a word."""
+    out = []
+    for a, b in words:
+        m = form.search(text, a, min(words[-1][1], b + LONGEST_FORM))
+        first = m.start() if m else -1
+        for n in NUMBER_START.finditer(text, a, b):
+            at = n.start()
+            inner = at > a + 1 and text[at - 1] in ".-" and (text[at - 2].isdigit() or text[at - 2] == ")")
+            if at == first or not inner:
+                out.append(at)
+                if n[0][0] == "(":
+                    out.append(at + 1)
+    return sorted(set(out))
+
+
+def _laid(text: str, words: list[tuple[int, int]], label: str, free: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """The spans among equally labelled words that keep the label's form: of all
+    ways to lay them side by side, the one that covers the most digits. A span
+    ends at a word's or number's end, or as far as the form reaches."""
+    kind, form, least, most = FORMS[label]
+    stop = words[-1][1]
+    found: list[tuple[int, int, int]] = []
+    for s in _starts(text, words, form):
+        last = min(stop, s + LONGEST_FORM)
+        m = form.match(text, s, last)
+        for e in range(s + least, last + 1) if m else ():
+            if not text[e - 1].isalnum() or text[e : e + 1].isalnum():
+                continue
+            inner = text[e : e + 1] in (".", "-") and text[e + 1 : e + 2].isdigit()
+            if (inner and e != m.end()) or not form.fullmatch(text, s, e):
+                continue
+            digits = sum(c.isdigit() for c in text[s:e])
+            if least <= digits <= most and free(s, e) and (kind != "iban" or _iban(text[s:e])):
+                found.append((s, e, digits))
+    # From the right: the most digits that spans from candidate j on can cover.
+    starts = [s for s, _, _ in found]
+    best, take = [0] * (len(found) + 1), [False] * len(found)
+    for j in range(len(found) - 1, -1, -1):
+        s, e, digits = found[j]
+        with_it = digits + best[bisect.bisect_left(starts, e)]
+        take[j] = with_it >= best[j + 1]
+        # Of two ends that cover as much, the later candidate is the longer one.
+        if take[j] and j + 1 < len(found) and starts[j + 1] == s and with_it == best[j + 1]:
+            take[j] = False
+        best[j] = max(with_it, best[j + 1])
+    out, j = [], 0
+    while j < len(found):
+        if take[j]:
+            out.append(found[j][:2])
+            j = bisect.bisect_left(starts, found[j][1])
+        else:
+            j += 1
+    return out
+
+
+def _free(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether (start, end) overlaps none of ``spans``."""
+    order = sorted(spans)
+    starts = [a for a, _, _ in order]
+    reach = list(itertools.accumulate((b for _, b, _ in order), max))
+
+    def free(a: int, b: int) -> bool:
+        at = bisect.bisect_left(starts, b)
+        return not at or reach[at - 1] <= a
+
+    return free
+
+
 def field_spans(texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
     """Per text the spans that the field adds."""
     runs, owner = [], []
@@ -301,6 +378,7 @@ def field_spans(texts: list[str], base: list[list[tuple[int, int, str]]]) -> lis
             runs.append(run)
             owner.append(i)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    free = [_free(spans) for spans in base]
     # Batches of runs with like lengths waste little padding.
     order = sorted(range(len(runs)), key=lambda j: len(runs[j][0]))
     for lo in range(0, len(order), 2048):
@@ -312,14 +390,8 @@ def field_spans(texts: list[str], base: list[list[tuple[int, int, str]]]) -> lis
                 while stop < len(labels) and labels[stop] == labels[at]:
                     stop += 1
                 if labels[at]:
-                    kind, form, least, most = FORMS[LABELS[labels[at]]]
-                    a, b = places[at][0], places[stop - 1][1]
-                    if m := form.search(texts[i], a, b):
-                        found = m[0]
-                        fits = least <= sum(c.isdigit() for c in found) <= most and (kind != "iban" or _iban(found))
-                        lonely = not (m.start() and texts[i][m.start() - 1].isalnum()) and not texts[i][m.end() : m.end() + 1].isalnum()
-                        if fits and lonely and not any(m.start() < y and x < m.end() for x, y, _ in base[i]):
-                            out[i].append((m.start(), m.end(), kind))
+                    label = LABELS[labels[at]]
+                    out[i] += [(a, b, FORMS[label][0]) for a, b in _laid(texts[i], places[at:stop], label, free[i])]
                 at = stop
     return out
 

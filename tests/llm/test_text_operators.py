@@ -98,6 +98,18 @@ def test_random_field_adds_other_forms():
     assert pii.digit_runs("a 1 2 b 3")[0][0] == [(2, 3), (4, 5)]
 
 
+def test_lists_on_one_line_are_found_whole():
+    found = lambda t: [t[a:b] for a, b, k in pii.scan([t])[0] if k not in pii.BASE_KINDS]
+    assert found("SSNs 123-45-6789, 219-09-9999") == found("ssn 123-45-6789 219-09-9999") == ["123-45-6789", "219-09-9999"]
+    for between in (", ", " "):
+        phones = [f"415-555-267{i}" for i in range(4)]
+        assert found("call " + between.join(phones)) == phones
+        ibans = ["DE89 3704 0044 0532 0130 00", "FR76 3000 6000 0112 3456 7890 189", "DE89 3704 0044 0532 0130 00"]
+        assert found("iban " + between.join(ibans)) == ibans
+    assert found("call +44 20 7946 0958, 415-555-2672, 415-555-2673") == ["415-555-2672", "415-555-2673"]
+    assert found("tel 01 42 68 53 00 01 42 68 53 01") == ["01 42 68 53 00", "01 42 68 53 01"]
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
