@@ -110,6 +110,16 @@ def test_lists_on_one_line_are_found_whole():
     assert found("tel 01 42 68 53 00 01 42 68 53 01") == ["01 42 68 53 00", "01 42 68 53 01"]
 
 
+def test_runs_are_not_cut_and_hold_letter_groups():
+    found = lambda t: [t[a:b] for a, b, k in pii.scan([t])[0] if k not in pii.BASE_KINDS]
+    phones = [f"020 7946 09{i}" for i in range(10, 60)]
+    assert found("tel " + " ".join(phones)) == phones
+    for iban in ("GB29 NWBK 6016 1331 9268 19", "IE64 IRCE 9205 0112 3456 78", "MU43 BOMM 0101 1234 5678 9101 000M UR"):
+        assert found(f"iban {iban} paid") == [iban]
+    assert "ssn" in {k for *_, k in pii.scan(["room AB12 SSN 123-45-6789"])[0]}
+    assert pii.shape("x" + "1-" * 30) == "a" + "9-" * 30
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
