@@ -8,7 +8,7 @@ word of a task is encoded once, in multithreaded batches, and its ids are compar
 with those of the SentencePiece library. A text's ids are its words' ids in order.
 
 Results for odd input: null and empty texts give no ids; a word on which the two
-libraries differ keeps the SentencePiece ids and marks the text's ``parity`` false;
+libraries differ keeps the rebuilt model's ids and marks the text's ``parity`` false;
 repeated rows are encoded each.
 """
 
@@ -151,8 +151,10 @@ class Codec:
             part = fresh[lo : lo + 4_000]
             ours = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
             theirs = self.reference.encode([w[drop:] for w in part], num_threads=1)
+            if drop and " " in part:  # the reference puts no space in front of nothing
+                theirs[part.index(" ")] = self.reference.encode("a ")[len(self.reference.encode("a")) :]
             for word, a, b in zip(part, ours, theirs, strict=True):
-                self.known[word] = (array("I", b).tobytes(), a == b)
+                self.known[word] = (array("I", a).tobytes(), a == b)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
         """Per text: its ids as unsigned 32-bit integers, and parity."""

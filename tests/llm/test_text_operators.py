@@ -269,6 +269,15 @@ def test_pieces_equal_the_reference(codec, text):
     assert codec.decode(ids) == text.replace(pieces.MARK, " ")
 
 
+def test_ids_are_the_rebuilt_models():
+    c = pieces.Codec(queries.tokenizer_path("piece_bpe_32k.model"))
+    assert c.encode(["some words"])[0][1]
+    assert c.encode(["a "]) == [(array("I", c.reference.encode("a ")).tobytes(), True)]
+    other = pieces.Codec(queries.tokenizer_path("piece_bpe_32k.model"))
+    other.library = type("Other", (), {"encode_batch": lambda self, words, **_: [type("E", (), {"ids": [7]}) for _ in words]})()
+    assert other.encode(["some words"]) == [(array("I", [7, 7]).tobytes(), False)]
+
+
 def test_piece_rows(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     rows = {r.doc_id: r for r in pieces.encode_texts(docs(spark, ODD), path, with_ids=True).collect()}
