@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -30,56 +31,60 @@ from .common import stored
 Encoder = Callable[[list[str]], list[array]]
 
 
-def byte_bpe_encoder(path: str, end_id: int = 0) -> Encoder:
+# Where a byte-level pre-tokenizer cuts whatever else the text holds: before a single
+# space between two other characters.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 100_000) -> Encoder:
     """Ids of a byte-level BPE ``tokenizer.json``, each text followed by
     ``end_id``, as arrays of unsigned 32-bit integers.
 
-    The file's vocabulary is run by a rank-based encoder, several times as fast
-    as the reference library and equal to it for files whose merge order is the
-    id order; both are compared on probe texts when a task starts, and a text
-    that holds one of the file's special strings goes to the library itself.
+    All ids come from the tokenizers library. Texts are cut where its pre-tokenizer
+    cuts them in any case; it encodes each distinct piece and up to ``most`` of them,
+    of 64 characters at most, are remembered. Files with another pre-tokenizer and
+    texts that hold one of the file's special strings are encoded whole.
     """
-    import tiktoken
     from tokenizers import Tokenizer
 
     spec = json.load(open(path, encoding="utf-8"))
     library = Tokenizer.from_file(path)
     special = [t["content"] for t in spec["added_tokens"]]
-    to_byte = {c: b for b, c in _byte_letters().items()}
-    ranks = {
-        bytes(to_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special
-    }
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    probes = ["", "Plain words, 123 numbers.", "  deux  espaces\n\n\ttab é ß ñ", "it's we'll 漢字 🙂\r\n x_y", "퟿́ \x00"]
-    same = all(fast.encode_ordinary(p) == library.encode(p, add_special_tokens=False).ids for p in probes)
+    before = spec["pre_tokenizer"] or {}
+    apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    apart = apart and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not spec["model"].get("dropout")
+    known: dict[str, bytes] = {}
+
+    def cut(text: str) -> list[str]:
+        if not text:
+            return []
+        if not apart or any(s in text for s in special):
+            return [text]
+        first, *others = CUT.split(text)
+        return [first, *[" " + w for w in others]]
 
     def encode(texts: list[str]) -> list[array]:
+        parts = [cut(t) for t in texts]
+        fresh = sorted({w for words in parts for w in words} - known.keys())
+        for lo in range(0, len(fresh), 4_000):  # the library's results are large
+            some = fresh[lo : lo + 4_000]
+            for word, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[word] = array("I", e.ids).tobytes()
         out = []
-        for text in texts:
-            if same and not any(s in text for s in special):
-                ids = fast.encode_ordinary(text)
-            else:
-                ids = library.encode(text, add_special_tokens=False).ids
+        for words in parts:
+            ids = array("I", b"".join(map(known.__getitem__, words)))
             ids.append(end_id)
-            out.append(array("I", ids))
+            out.append(ids)
+        for word in fresh:
+            if len(word) > 64:
+                del known[word]
+        if len(known) > most:
+            known.clear()
         return out
 
     return encode
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable
-    Latin-1 bytes stand for themselves, the others count up from 256."""
-    out, shift = {}, 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-            out[b] = chr(b)
-        else:
-            out[b], shift = chr(shift), shift + 1
-    return out
-
-
 class Windows:
     """Open windows of one task: at most ``most``, kept sorted by their room."""
 

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -253,6 +254,32 @@ def test_byte_bpe_equals_the_library():
     assert [list(i) for i in encode(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_byte_bpe_ids_come_from_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocab = {c: i for i, c in enumerate([*letters, "qz", "zq"])}
+    made = Tokenizer(models.BPE(vocab, [("z", "q"), ("q", "z")]))  # merge order is not id order
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "t.json"))
+    assert list(packing.byte_bpe_encoder(str(tmp_path / "t.json"))(["qzq"])[0]) == [vocab["q"], vocab["zq"], 0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "It's", " ", "  ", "\n", "\x1c", "\xa0", "7", "é", "漢", "!?", "<|endoftext|>", "\u2028"]), max_size=12).map("".join))
+def test_byte_bpe_pieces_equal_whole_texts(text):
+    encode, library = bpe()
+    assert list(encode([text])[0]) == [*library.encode(text, add_special_tokens=False).ids, 0]
+
+
+@functools.cache
+def bpe():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    return packing.byte_bpe_encoder(path), Tokenizer.from_file(path)
+
+
 # ---- sentence pieces ---------------------------------------------------------------
 
 
