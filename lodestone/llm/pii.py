@@ -32,7 +32,7 @@ LABELS = ("O", "PHONE", "SSN", "IBAN")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -41,12 +41,15 @@ ANCHORED = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]{16,}"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{8,}+)\.(eyJ[A-Za-z0-9_-]{2,}+)\.[A-Za-z0-9_-]{16,}"),
     "slack": re.compile(r"xox[abp]-[0-9]{9,13}-[0-9A-Za-z-]{16,}"),
     "stripe": re.compile(r"[sr]k_live_[A-Za-z0-9]{24,}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]{64,}-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
 }
+#: A kind whose pattern begins with an unbounded run: where it fails at one keyword, it
+#: fails at every later one in the same run, so the run is read once.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*+")}
 #: Runs of lower-case hex have no keyword; the run itself is the anchor.
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -110,10 +113,14 @@ def scan(text: str | None, keywords: ahocorasick.Automaton) -> list[tuple[int, i
     found, used = [], dict.fromkeys(ANCHORED, 0)
     for last, (size, kind) in keywords.iter(low):
         at = last - size + 1
-        if at >= used[kind] and (m := ANCHORED[kind].match(text, at)):
+        if at < used[kind]:
+            continue
+        if m := ANCHORED[kind].match(text, at):
             used[kind] = m.end()
             if accepted(kind, m):
                 found.append((at, m.end(), kind))
+        elif kind in RUNS:
+            used[kind] = RUNS[kind].match(text, at).end()
     found += [(m.start(), m.end(), "hex") for m in HEX_RUN.finditer(text)]
     if len(found) > 1:
         found.sort(key=lambda s: (s[0], KINDS.index(s[2])))

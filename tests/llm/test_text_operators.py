@@ -48,9 +48,12 @@ def test_base_secrets_equal_plain_patterns(text):
 
 def test_checksums_and_headers():
     a = secrets.automaton()
-    body = "a" * 30
+    body = "xY" * 15
     good = f"ghp_{body}{secrets.base62_crc(body)}"
     assert secrets.scan(good, a) == [(0, 40, "github")] and not secrets.scan(f"ghp_{body}000000", a)
+    # A base span inside stays.
+    body = "a" * 30
+    assert secrets.scan(f"ghp_{body}{secrets.base62_crc(body)}", a)[:2] == [(0, 40, "github"), (4, 35, "hex")]
     assert secrets.scan("eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.abcdefghijklmnopqr", a)[0][2] == "jwt"
 
 
