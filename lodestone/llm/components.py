@@ -19,14 +19,14 @@ def _min_neighbour(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges``: (a, b), any order, repeats and loops allowed, of an orderable
     type. Returns (node, component) with the smallest node of each component, one
     row per node that occurs. No edges give no rows."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = stored(pairs, "links")
     before = None
-    for _ in range(most_rounds):
+    while True:  # until a round changes nothing; links only ever move to smaller nodes
         # Large star: over both directions, each neighbour above u goes to u's minimum.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))

@@ -4,10 +4,13 @@ Two unit vectors with cosine c are 2 - 2c apart in squared distance. A learned
 rotation (principal axes of a bounded sample, dealt out so that blocks hold like
 variance) is split into blocks, and the squared distance is the sum over blocks: if
 it is within the budget, at least one block is within its proportional share. Each
-block is range-joined on a grid over its leading coordinates, whose cells are at
-least twice the share's radius wide, so only neighbouring cells meet. What a block
-lets through is verified exactly in double precision on the original vectors, and a
-pair counts in the first block that admits it, so the union needs no distinct.
+block is range-joined on a grid with borders at the sample's quantiles: a vector has
+one home cell and visits every later cell whose box lies within the share's radius,
+so each pair within it meets in exactly one cell. How many coordinates a grid cuts,
+and how finely, is what costs least by counts on the sample for the number of
+vectors at hand: more vectors, more cells. What a block lets through is verified
+exactly in double precision on the original vectors, and a pair counts in the first
+block that admits it, so the union needs no distinct.
 
 Equal vectors (equal directions are not assumed equal) form one class whose smallest
 id stands for it; only classes are joined, weighted by their size. A task returns
@@ -47,45 +50,119 @@ def learn_blocks(sample: np.ndarray, count: int) -> list[np.ndarray]:
 
 
 class Forest:
-    """Union-find over row numbers."""
+    """Union-find over row numbers, joined by batches of pairs."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.up = np.arange(n)
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
             i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def cells(projected: np.ndarray, width: float, radius: float) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """Home cells, one row each, and (row, cell...) of the later neighbouring cells
-    that lie within ``radius``."""
-    home = np.floor(projected / width).astype(np.int64)
-    at = projected - home * width
-    visits: list[tuple[int, ...]] = []
-    g = projected.shape[1]
-    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * g, indexing="ij"), -1).reshape(-1, g)
-    for step in steps:
-        if tuple(step) <= (0,) * g:  # only later cells: each pair of cells meets once
-            continue
-        reach = np.where(step < 0, at, np.where(step > 0, width - at, 0.0))
-        for i in np.flatnonzero((reach**2).sum(axis=1) <= radius**2):
-            visits.append((int(i), *map(int, home[i] + step)))
-    return home, visits
-
-
-def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int = 4, sample: int = 10_000, chunk: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        return int(i)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+        """Join each pair; those that were apart until their turn."""
+        apart = self.up[u] != self.up[v]
+        out = []
+        for i, j in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
+            a, b = self.root(i), self.root(j)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                out.append((i, j))
+        while out and (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return out
+
+
+#: What a row dealt to a cell costs, in comparisons of two block projections.
+ROW_COST = 3_000
+
+
+class Grid:
+    """Cells of one block: per cut coordinate its inner borders, ascending."""
+
+    def __init__(self, borders: list[np.ndarray]):
+        self.borders = borders
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        code = np.zeros(len(x), np.int64)
+        for i, b in enumerate(self.borders):
+            code = code * (len(b) + 1) + np.searchsorted(b, x[:, i], side="right")
+        return code
+
+    def reached(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of every cell whose box is within ``radius`` of the row."""
+        rows, code, left = np.arange(len(x)), np.zeros(len(x), np.int64), np.full(len(x), radius**2)
+        for i, b in enumerate(self.borders):
+            at = x[rows, i][:, None]
+            gap = np.maximum(np.maximum(np.r_[-np.inf, b] - at, at - np.r_[b, np.inf]), 0.0) ** 2
+            r, t = np.nonzero(gap <= left[:, None])
+            rows, code, left = rows[r], code[r] * (len(b) + 1) + t, left[r] - gap[r, t]
+        return rows, code
+
+
+def fit_grid(sample: np.ndarray, radius: float, n: int, chunk: int, most_log2: int = 20, draw: int = 1_000) -> Grid:
+    """The grid over the sample's coordinates that costs least for ``n`` vectors:
+    what is dealt out and what is compared, counted on at most ``draw`` sample rows."""
+    width = sample.shape[1]
+    best, least = Grid([]), ROW_COST * -(-n // chunk) + n / 2
+    for bits in range(1, most_log2 + 1):
+        cuts = [1 << (bits // width + (i < bits % width)) for i in range(min(width, bits))]
+        grid = Grid([np.quantile(sample[:, i], np.arange(1, k) / k) for i, k in enumerate(cuts)])
+        some = sample[: max(100, draw >> max(0, bits - 6))]
+        _, reached = grid.reached(some, radius)
+        cells, at_home = np.unique(grid.homes(some), return_counts=True)
+        where = np.searchsorted(cells, reached)
+        inside = cells[np.minimum(where, len(cells) - 1)] == reached
+        reaching = np.bincount(where[inside], minlength=len(cells))
+        # A vector is compared with the homes of the cells it reaches, half of its own.
+        met = (at_home * reaching).sum() / len(some) ** 2
+        # Of two cells that reach each other's vectors the later one gets the visit.
+        rows = (at_home + (reaching - at_home) / 2) / len(some)
+        dealt = (rows * np.ceil(n * rows / chunk)).sum() + (~inside).sum() / 2 / len(some)
+        cost = ROW_COST * dealt + n * met / 2
+        if cost < least:
+            best, least = grid, cost
+        elif cost > 3 * least:
+            break
+    return best
+
+
+def turned(unit: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """``unit @ basis``, summed in the same order whatever the other rows are, so
+    that every task that looks at a vector gets the same numbers."""
+    out = np.zeros((len(unit), basis.shape[1]))
+    for column, row in zip(unit.T, basis, strict=True):
+        out += column[:, None] * row[None, :]
+    return out
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, share: float, same: bool, rows: int = 256, columns: int = 4_096):
+    """(i, j) arrays of the pairs within ``share`` in squared distance, and a few
+    more (single precision); with ``same`` only i < j."""
+    half_a, half_b = (a**2).sum(axis=1) / 2, (b**2).sum(axis=1) / 2
+    left = np.hstack([a, -half_a[:, None], np.ones((len(a), 1))]).astype(np.float32)
+    right = np.hstack([b, np.ones((len(b), 1)), -half_b[:, None]]).astype(np.float32).T
+    for lo in range(0, len(a), rows):
+        for at in range(lo if same else 0, len(b), columns):
+            # Minus half the squared distance, by one product.
+            near = left[lo : lo + rows] @ right[:, at : at + columns] >= np.float32(-share / 2 - 1e-5)
+            hits = np.flatnonzero(near)
+            if len(hits):
+                i, j = np.divmod(hits, near.shape[1])
+                i, j = i + lo, j + at
+                if same:
+                    i, j = i[i < j], j[i < j]
+                yield i, j
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int = 4, sample: int = 10_000, chunk: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per distinct id: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    members = stored(rows.select("id", "v", F.xxhash64("v").alias("h")), "vectors")
+    # Single-precision components stay so where they are stored and dealt out.
+    kept_as = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    members = stored(rows.select("id", F.col("v").cast(kept_as).alias("v"), F.xxhash64("v").alias("h")), "vectors")
     # Copies: the class of a vector, by value; the hash only shortens the key.
     classes = stored(members.groupBy("h", "v").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight")), "classes")
     n = classes.count()
@@ -95,32 +172,30 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int = 4, sampl
     budget = 2.0 - 2.0 * least
     d = sum(b.shape[1] for b in bases)
     shares = [budget * b.shape[1] / d for b in bases]
-    # The grid gets one coordinate more for each factor of eight in the rows.
-    g = int(min(4, 2 + max(0, np.log(max(n, 1) / 200_000) / np.log(8)))) if n > 2_000 else 1
-    shared = spark.sparkContext.broadcast((bases, shares))
+    unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True) if len(drawn) else drawn
+    grids = [fit_grid(unit @ b, np.sqrt(s) + SLACK, n, chunk) for b, s in zip(bases, shares, strict=True)]
+    shared = spark.sparkContext.broadcast((bases, shares, grids))
 
     def place(batches):
-        bases, shares = shared.value
-        for batch in batches:
-            x = matrix(batch.column(1))
-            if not len(x):
-                continue
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            at, block, cell, homes = [], [], [], []
-            for j, (basis, share) in enumerate(zip(bases, shares, strict=True)):
-                radius = np.sqrt(share) + SLACK
-                home, visits = cells(unit @ basis[:, : min(g, basis.shape[1])], 2 * radius, radius)
-                at += [*range(len(x)), *(v[0] for v in visits)]
-                block += [j] * (len(x) + len(visits))
-                cell += [":".join(map(str, c)) for c in (*home.tolist(), *(v[1:] for v in visits))]
-                homes += [True] * len(x) + [False] * len(visits)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(block, pa.int32()), pa.array(cell, pa.string()), pa.array(homes, pa.bool_())],
-                names=["rep", "v", "weight", "block", "cell", "home"],
-            )
-
-    schema = f"rep {id_type}, v array<double>, weight long, block int, cell string, home boolean"
+        bases, shares, grids = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1_024):  # a vector may reach many cells
+                batch = whole.slice(lo, 1_024)
+                x = matrix(batch.column(1))
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for j, (basis, share, grid) in enumerate(zip(bases, shares, grids, strict=True)):
+                    at = unit @ basis
+                    home = grid.homes(at)
+                    rows, cell = grid.reached(at, np.sqrt(share) + SLACK)
+                    later = cell > home[rows]
+                    take = pa.array(np.r_[np.arange(len(x)), rows[later]], pa.int64())
+                    cell = np.r_[home, cell[later]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).take(take) for i in range(3)), pa.array(np.full(len(cell), j, np.int32)), pa.array(cell), pa.array(np.arange(len(cell)) < len(x))],
+                        names=["rep", "v", "weight", "block", "cell", "home"],
+                    )
+
+    schema = f"rep {id_type}, v {kept_as}, weight long, block int, cell long, home boolean"
     placed = classes.select("rep", "v", "weight").mapInArrow(place, schema)
     sizes = placed.groupBy("block", "cell").agg(F.count("*").alias("m"), F.count_if("home").alias("own"))
     sizes = sizes.where("own > 0 and m > 1").select("block", "cell", F.ceil(F.col("m") / chunk).cast("int").alias("k"))
@@ -129,42 +204,40 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int = 4, sampl
     tasks = dealt.withColumn("t", F.explode(others)).select("block", "cell", "t.p", "t.q", "x", "rep", "v", "weight", "home")
 
     def join(table: pa.Table) -> pa.Table:
-        bases, shares = shared.value
+        bases, shares, _ = shared.value
         j, p, q = (table[c][0].as_py() for c in ("block", "p", "q"))
         ids, x, w = table["rep"].to_numpy(), matrix(table["v"]), table["weight"].to_numpy()
         home, part = table["home"].to_numpy(zero_copy_only=False).astype(bool), table["x"].to_numpy()
         norm = np.linalg.norm(x, axis=1)
-        # einsum sums each row alike whatever the other rows are.
-        turned = [np.einsum("ij,jk->ik", x / norm[:, None], b, optimize=False) for b in bases]
-        mine, forest = turned[j], Forest(len(x))
-        square = (mine**2).sum(axis=1)
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        links, found = np.zeros(len(x), np.int64), []
-        for lo in range(0, len(left), 512):
-            a = left[lo : lo + 512]
-            gap = square[a][:, None] + square[right][None, :] - 2 * mine[a] @ mine[right].T
-            s, t = np.nonzero(gap <= shares[j] + SLACK)
-            s, t = a[s], right[t]
-            keep = home[s] | home[t]  # two visitors meet in a home of one of them
-            keep &= (s < t) if p == q else True
-            s, t = s[keep], t[keep]
-            for lo2 in range(0, len(s), 65_536):
-                u, v = s[lo2 : lo2 + 65_536], t[lo2 : lo2 + 65_536]
-                # The first block that admits the pair counts it; the same product
-                # decides in every block, so no pair is counted twice or never.
-                first = np.ones(len(u), bool)
-                for i in range(j):
-                    first &= ((turned[i][u] - turned[i][v]) ** 2).sum(axis=1) > shares[i]
-                admits = ((mine[u] - mine[v]) ** 2).sum(axis=1) <= shares[j] if j + 1 < len(bases) else np.ones(len(u), bool)
-                u, v = u[first & admits], v[first & admits]
-                cosine = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v])
-                u, v = u[cosine >= least], v[cosine >= least]
-                np.add.at(links, u, w[v])
-                np.add.at(links, v, w[u])
-                found += [(ids[i], ids[k]) for i, k in zip(u.tolist(), v.tolist(), strict=True) if forest.join(i, k)]
+        unit = x / norm[:, None]
+        own = turned(unit, bases[j])
+        before: list[np.ndarray] = []
+        forest, links, found = Forest(len(x)), np.zeros(len(x), np.int64), []
+        at = {(c, h): np.flatnonzero((part == c) & (home == h)) for c in (p, q) for h in (True, False)}
+        # Two visitors meet in a home of one of them.
+        meets = [(at[p, True], at[q, True], p == q), (at[p, True], at[q, False], False)]
+        meets += [(at[p, False], at[q, True], False)] if p != q else []
+        for a, b, same in meets:
+            for s, t in close_pairs(own[a], own[b], shares[j], same):
+                if not before:
+                    before += [turned(unit, bases[i]) for i in range(j)]
+                for lo in range(0, len(s), 65_536):
+                    u, v = a[s[lo : lo + 65_536]], b[t[lo : lo + 65_536]]
+                    # The first block that admits the pair counts it, so no pair is
+                    # counted twice; the last admits what no other does.
+                    if j + 1 < len(bases):
+                        admits = ((own[u] - own[v]) ** 2).sum(axis=1) <= shares[j]
+                        u, v = u[admits], v[admits]
+                    for i in range(j):
+                        apart = ((before[i][u] - before[i][v]) ** 2).sum(axis=1) > shares[i]
+                        u, v = u[apart], v[apart]
+                    cosine = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v])
+                    u, v = u[cosine >= least], v[cosine >= least]
+                    links += np.bincount(u, w[v], len(x)).astype(np.int64) + np.bincount(v, w[u], len(x)).astype(np.int64)
+                    found += [(ids[i], ids[k]) for i, k in forest.join(u, v)]
         some = np.flatnonzero(links)
-        a = [*ids[some].tolist(), *(int(i) for i, _ in found)]
-        b = [None] * len(some) + [int(i) for _, i in found]
+        a = [*ids[some].tolist(), *(i.item() for i, _ in found)]
+        b = [None] * len(some) + [i.item() for _, i in found]
         n_links = [*links[some].tolist(), *[0] * len(found)]
         kind = table.schema.field("rep").type
         return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "n": pa.array(n_links, pa.int64())})
