@@ -60,6 +60,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Recent(dict):
+    """A memo of two generations: at ``most`` entries the older one goes, so what is
+    used often stays and what is held is bounded. ``miss`` tells which keys of a set
+    must be worked out; they are then set."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def miss(self, keys: set) -> set:
+        if len(self) + len(keys) > self.most and self:
+            self.older = dict(self)
+            self.clear()
+        fresh = keys.difference(self)
+        older = self.older
+        if older and fresh:
+            again = {k: older[k] for k in fresh if k in older}
+            self.update(again)
+            fresh = fresh.difference(again)
+        return fresh
+
+
 def hash_sample(df: DataFrame, key: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows of ``df``, chosen by the hash of ``key`` alone:
     the same rows on every run and partitioning. All rows if there are fewer."""

@@ -15,18 +15,21 @@ rows are packed each; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Recent, stored
 
 Encoder = Callable[[list[str]], list[array]]
 
@@ -36,50 +39,93 @@ Encoder = Callable[[list[str]], list[array]]
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 100_000) -> Encoder:
+@functools.cache
+def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 150_000) -> Encoder:
     """Ids of a byte-level BPE ``tokenizer.json``, each text followed by
     ``end_id``, as arrays of unsigned 32-bit integers.
 
     All ids come from the tokenizers library. Texts are cut where its pre-tokenizer
-    cuts them in any case; it encodes each distinct piece and up to ``most`` of them,
-    of 64 characters at most, are remembered. Files with another pre-tokenizer and
-    texts that hold one of the file's special strings are encoded whole.
+    cuts them in any case, and each distinct word is encoded once; some ``most`` words
+    of 64 characters at most are remembered, by a worker for all its tasks. Words that
+    follow a single space go to the library many at a time: each begins with the one
+    token of its own that starts with a space, so the ids fall apart again. Files with
+    another pre-tokenizer and texts that hold one of the file's special strings are
+    encoded whole.
     """
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     spec = json.load(open(path, encoding="utf-8"))
     library = Tokenizer.from_file(path)
     special = [t["content"] for t in spec["added_tokens"]]
     before = spec["pre_tokenizer"] or {}
     apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
     apart = apart and not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and not spec["model"].get("dropout")
-    known: dict[str, bytes] = {}
-
-    def cut(text: str) -> list[str]:
+    vocabulary = library.get_vocab()
+    # The byte-level form of a space is U+0120.
+    begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
+    spaced, alone = Recent(most), Recent(most)  # words after a space; other pieces
+
+    def uneven(word: str) -> bool:
+        """Next to such a word not every space is a cut."""
+        return not word or word[0].isspace() or word[-1].isspace()
+
+    def cut(text: str) -> tuple[list[str], list[str]]:
+        """The text's pieces: those to encode as they are, and words after a space."""
         if not text:
-            return []
+            return [], []
         if not apart or any(s in text for s in special):
-            return [text]
+            return [text], []
+        words = text.split(" ")
+        first = words[:1]
+        return ([], [""]) if uneven(first[0]) else (first, words[1:])
+
+    def cut_unevenly(text: str) -> tuple[list[str], list[str]]:
         first, *others = CUT.split(text)
-        return [first, *[" " + w for w in others]]
+        return [first, *[" " + w for w in others]], []
+
+    def learn(words: list[str], group: int = 200) -> None:
+        lines = [words[at : at + group] for at in range(0, len(words), group)]
+        for lo in range(0, len(lines), 50):  # the library's results are large
+            some = lines[lo : lo + 50]
+            for line, e in zip(some, library.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                data, at = ids.tobytes(), np.flatnonzero(begins[ids]) * 4
+                ends = [*at[1:].tolist(), len(data)]
+                spaced.update(zip(line, [data[a:b] for a, b in zip(at.tolist(), ends, strict=True)], strict=True))
+
+    def learn_alone(words: list[str]) -> None:
+        for lo in range(0, len(words), 4_000):
+            some = words[lo : lo + 4_000]
+            for word, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                alone[word] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[array]:
         parts = [cut(t) for t in texts]
-        fresh = sorted({w for words in parts for w in words} - known.keys())
-        for lo in range(0, len(fresh), 4_000):  # the library's results are large
-            some = fresh[lo : lo + 4_000]
-            for word, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
+        pieces, words = set(), set()
+        for p, w in parts:
+            pieces.update(p)
+            words.update(w)
+        fresh = spaced.miss(words)
+        if odd := {w for w in fresh if uneven(w)}:
+            for i, (_, w) in enumerate(parts):
+                if not odd.isdisjoint(w):
+                    parts[i] = cut_unevenly(texts[i])
+                    pieces.update(parts[i][0])
+            fresh -= odd
+        fresh, fresh_alone = sorted(fresh), sorted(alone.miss(pieces))
+        learn(fresh)
+        learn_alone(fresh_alone)
         out = []
-        for words in parts:
-            ids = array("I", b"".join(map(known.__getitem__, words)))
+        for p, w in parts:
+            ids = array("I", b"".join([*map(alone.__getitem__, p), *map(spaced.__getitem__, w)]))
             ids.append(end_id)
             out.append(ids)
-        for word in fresh:
-            if len(word) > 64:
-                del known[word]
-        if len(known) > most:
-            known.clear()
+        for known, some in ((spaced, fresh), (alone, fresh_alone)):
+            for word in some:
+                if len(word) > 64:
+                    del known[word]
         return out
 
     return encode
@@ -113,7 +159,7 @@ class Windows:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_room long"
 
 
-def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, rows_at_once: int = 64) -> DataFrame:
+def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, rows_at_once: int = 128) -> DataFrame:
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {PIECE}" + ", ids array<long>" * with_ids
