@@ -4,8 +4,9 @@ The model's protobuf is parsed here and rebuilt: its normaliser, the metaspace
 marker, the vocabulary with its scores (unigram) or the merges that its scores imply
 (byte-pair), and byte fallback. Texts are encoded word by word where no piece of the
 vocabulary reaches over a space, which the vocabulary is searched for; each distinct
-word of a task is encoded once, in multithreaded batches, and its ids are compared
-with those of the SentencePiece library. A text's ids are its words' ids in order.
+word is encoded once, many words a line in multithreaded batches of lines, its ids are
+compared with those of the SentencePiece library, and decoded again. A text's ids are
+its words' ids in order. A worker remembers words for all its tasks.
 
 Results for odd input: null and empty texts give no ids; a word on which the two
 libraries differ keeps the rebuilt model's ids and marks the text's ``parity`` false;
@@ -14,15 +15,19 @@ repeated rows are encoded each.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Recent
+
 MARK = "\u2581"
 # Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -109,19 +114,20 @@ class Model:
 
 
 class Codec:
-    """Encodes and decodes with one model; remembers up to ``most`` words."""
+    """Encodes and decodes with one model; remembers some ``most`` words."""
 
     WORD = re.compile(f" +[^ {MARK}]*|[^ {MARK}]+|{MARK}[^ {MARK}]*")
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 150_000):
         import sentencepiece
 
         data = open(path, "rb").read()
         self.model = Model(data)
         self.library = self.model.tokenizer()
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.most = most
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known = Recent(most)  # word -> its ids, 32 bits each
+        self.unlike: set[str] = set()  # words on which the libraries differ
+        self.changed: set[str] = set()  # words that decoding does not give back
         self.bytes_of = []
         for piece, _, kind in self.model.pieces:
             if kind == BYTE:
@@ -130,6 +136,7 @@ class Codec:
                 self.bytes_of.append(" \u2047 ".encode())
             else:
                 self.bytes_of.append(b"" if kind == CONTROL else piece.replace(MARK, " ").encode())
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
 
     def prepared(self, text: str) -> str:
         """The text as its words are cut from it: the spaces that the model drops
@@ -142,32 +149,57 @@ class Codec:
         p = self.prepared(text)
         return self.WORD.findall(p) if self.model.by_word and MARK not in text else [p] if p else []
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words not yet known, in one batch, and hold both libraries'
-        results against each other."""
-        fresh = sorted(words)
+    def learn(self, words: set[str], group: int = 100) -> None:
+        """Encode new words, hold both libraries' results against each other, and
+        decode. Words that begin with one space go many to a line: each begins with
+        the one token of its own that holds the space. Lines on which anything
+        differs are done again word by word."""
         drop = 1 if self.model.prefix else 0  # the reference puts the space back
-        for lo in range(0, len(fresh), 4_000):  # the library's results are large
-            part = fresh[lo : lo + 4_000]
+        fresh = sorted(words)
+        one = [w for w in fresh if w[0] == " " and w[1:2] not in ("", " ")] if drop and self.model.by_word else []
+        lines = [one[at : at + group] for at in range(0, len(one), group)]
+        single = set(fresh).difference(one)
+        for lo in range(0, len(lines), 50):  # the library's results are large
+            some = lines[lo : lo + 50]
+            texts = ["".join(line) for line in some]
+            theirs = self.reference.encode([t[1:] for t in texts], num_threads=1)
+            for line, text, e, other in zip(some, texts, self.library.encode_batch(texts, add_special_tokens=False), theirs, strict=True):
+                own = e.ids
+                ids = np.array(own, "<u4")
+                at = np.flatnonzero(self.begins[ids]) * 4
+                if own == other and len(at) == len(line) and b"".join([self.bytes_of[i] for i in own]) == text.encode():
+                    data = ids.tobytes()
+                    ends = [*at[1:].tolist(), len(data)]
+                    self.known.update(zip(line, [data[a:b] for a, b in zip(at.tolist(), ends, strict=True)], strict=True))
+                else:
+                    single.update(line)
+        rest = sorted(single)
+        for lo in range(0, len(rest), 4_000):
+            part = rest[lo : lo + 4_000]
             ours = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
             theirs = self.reference.encode([w[drop:] for w in part], num_threads=1)
             if drop and " " in part:  # the reference puts no space in front of nothing
                 theirs[part.index(" ")] = self.reference.encode("a ")[len(self.reference.encode("a")) :]
             for word, a, b in zip(part, ours, theirs, strict=True):
-                self.known[word] = (array("I", a).tobytes(), a == b)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """Per text: its ids as unsigned 32-bit integers, and parity."""
+                self.known[word] = array("I", a).tobytes()
+                if a != b:
+                    self.unlike.add(word)
+                if b"".join([self.bytes_of[i] for i in a]) != word.replace(MARK, " ").encode():
+                    self.changed.add(word)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
+        """Per text: its ids as unsigned 32-bit integers, parity, and whether the
+        ids decode to its words."""
         cut = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        fresh = {w for words in cut for w in words} - self.known.keys()
-        if fresh:
+        every: set[str] = set()
+        every.update(*cut)
+        if fresh := self.known.miss(every):
             self.learn(fresh)
+        take = self.known.__getitem__
         out = []
         for words in cut:
-            found = list(map(self.known.__getitem__, words))
-            out.append((b"".join([i for i, _ in found]), all([same for _, same in found])))
+            ids = b"".join([*map(take, words)])
+            out.append((ids, not self.unlike or self.unlike.isdisjoint(words), not self.changed or self.changed.isdisjoint(words)))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -176,6 +208,12 @@ class Codec:
         return text[1:] if self.model.prefix and text.startswith(" ") else text
 
 
+@functools.cache
+def codec_of(path: str) -> Codec:
+    """One codec a model and process."""
+    return Codec(path)
+
+
 def encode_texts(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_ids, ids_crc32, parity, round_trip (decoding
     gives back the text as the model normalises it) and with ``with_ids`` the ids."""
@@ -184,17 +222,16 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False, id_col: str
     schema = f"`{id_col}` {id_type}, n_ids long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         plain = not codec.model.charsmap and not codec.model.squeeze
         for batch in batches:
             columns: list[list] = [[] for _ in range(4 + with_ids)]
             for lo in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(lo, 256).to_pylist()
-                for text, (ids, parity) in zip(texts, codec.encode(texts), strict=True):
-                    want = (text or "").replace(MARK, " ")
+                for text, (ids, parity, same) in zip(texts, codec.encode(texts), strict=True):
                     if not plain and text:
-                        want = codec.reference.normalize(text).replace(MARK, " ").removeprefix(" " * codec.model.prefix)
-                    values = (len(ids) // 4, zlib.crc32(ids), parity, codec.decode(ids) == want)
+                        same = codec.decode(ids) == codec.reference.normalize(text).replace(MARK, " ").removeprefix(" " * codec.model.prefix)
+                    values = (len(ids) // 4, zlib.crc32(ids), parity, same)
                     for c, v in zip(columns, (*values, *([array("I", ids).tolist()] if with_ids else [])), strict=True):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.list_(pa.int64())] * with_ids]
@@ -212,7 +249,7 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             texts = [None if ids is None else codec.decode(array("I", ids).tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
