@@ -142,7 +142,7 @@ def _exact_probes(rows: DataFrame, ids: np.ndarray, probes: np.ndarray, k: int)
 
 def fit_radius(rows: DataFrame, rotations: np.ndarray, k: int, probes: int = 64, recall: float = 0.97) -> int:
     """The Hamming radius that holds ``recall`` of the probes' exact neighbours."""
-    got = hash_sample(rows, "id", probes).toArrow()
+    got = hash_sample(rows, ["id"], probes).toArrow()
     ids, x = np.array(got["id"].to_pylist()), matrix(got["v"])
     if not len(x):
         return 0

@@ -82,11 +82,10 @@ class Recent(dict):
         return fresh
 
 
-def hash_sample(df: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows of ``df``, chosen by the hash of ``key`` alone:
-    the same rows on every run and partitioning. All rows if there are fewer."""
+def hash_sample(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of ``df`` at most, chosen by the hash of ``keys`` alone:
+    the same rows on every run and partitioning. Rows with equal keys count once, so a
+    row that repeats cannot fill the sample."""
     n = df.count()
-    if n <= max_rows:
-        return df
-    cut = int(max_rows / n * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < F.lit(cut))
+    cut = int(min(1.0, max_rows / max(n, 1)) * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(cut)).dropDuplicates(keys)

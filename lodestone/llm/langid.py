@@ -6,9 +6,8 @@ which the model knows at least one. A text's score is the softmax of the summed
 log-likelihoods, tempered by the number of words.
 
 The classifier is fitted on at most about ``max_rows`` labelled rows (picked by
-the hash of the id) and its tables are cut to ``max_words`` words a language, so
-what the driver holds and sends out is bounded whatever the corpus is. Every
-whole text is scored.
+the hash of id and text), so what the driver holds and sends out is the vocabulary of
+so many rows whatever the corpus is. Every whole text is scored.
 
 Results for odd input: null text and texts without letters give ``und`` with
 score 0; without any labelled row every text does; rows with a null language
@@ -24,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits, such as a raised 2.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(f"[^\\W\\d_{NUMERALS}]+")
 UNKNOWN = "und"
 NGRAMS = (5, 4, 3, 2, 1)
 
@@ -129,10 +130,10 @@ class Scorer:
         return self.model.langs[best], float(min(1.0, 1.0 / p.sum()))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 6_000, max_words: int = 15_000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 6_000) -> Model:
     """Learn from ``labelled`` (rows with a null language or text are left out)."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
-    rows = hash_sample(rows.where("g is not null and t is not null"), "i", max_rows).select("g", "t")
+    rows = hash_sample(rows.where("g is not null and t is not null"), ["i", "t"], max_rows).select("g", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +147,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             )
 
     counted = rows.mapInArrow(count, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("g").orderBy(F.desc("n"), "w")
-    kept = counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words).select("g", "w", "n")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for g, w, n in kept.toPandas().itertuples(index=False):  # at most max_words rows a language
+    for g, w, n in counted.toPandas().itertuples(index=False):  # the words of the sampled rows
         counts[g][w] = int(n)
     return Model(dict(counts))
 
@@ -172,16 +171,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is identified with a score
-    of ``least`` or more; ``und`` goes."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is identified; ``und`` goes."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = (scorer.score(t.as_py()) for t in batch.column(at))
-            yield batch.filter(pa.array([g != UNKNOWN and s >= least for g, s in got], pa.bool_()))
+            keep = [scorer.score(t.as_py())[0] != UNKNOWN for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -66,7 +66,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the labelled rows that may be learned from; a
     document with labels that differ counts as toxic."""
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(crc_mod("doc_id", 3) != 1)
     return docs.select("doc_id", "text").join(marks, "doc_id")
 

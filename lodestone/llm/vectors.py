@@ -32,6 +32,6 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def sample_matrix(rows: DataFrame, most: int) -> np.ndarray:
-    """At most about ``most`` vectors, picked by the hash of the id."""
-    got = hash_sample(rows, "id", most).select("v").toArrow()
+    """At most about ``most`` distinct (id, v), picked by their hash."""
+    got = hash_sample(rows, ["id", "v"], most).select("v").toArrow()
     return matrix(got["v"])

@@ -173,6 +173,73 @@ def test_language_held_out_accuracy(spark):
     assert {r.lang_pred for r in langid.identify(d, none).collect()} == {"und"}
 
 
+def test_texts_without_a_letter():
+    assert langid.words_of("² ½ Ⅷ 12 ٣ _ !!") == [] and langid.words_of("x² é12b") == ["x", "é", "b"]
+
+
+def brute_language(counts, text):
+    """The score by its definition, in plain Python."""
+    langs = sorted(counts)
+
+    def logs(columns):
+        keys = {w for c in columns for w in c}
+        rows = {}
+        for w in keys:
+            row = [math.log(c.get(w, 0.0) + 0.1) - math.log(sum(c.values()) + 0.1 * (len(keys) + 1)) for c in columns]
+            rows[w] = [x - sum(row) / len(row) for x in row]
+        return rows
+
+    def grams(n):
+        out = []
+        for g in langs:
+            c: dict = {}
+            for word, k in counts[g].items():
+                for i in range(len(word) + 3 - n):
+                    piece = f"<{word}>"[i : i + n]
+                    c[piece] = c.get(piece, 0.0) + math.log1p(k)
+            out.append(c)
+        if n > 3:
+            keep = {w for c in out for w, x in c.items() if x >= 2.0}
+            sums = [sum(c.values()) for c in out]
+            return logs_kept(out, keep, sums)
+        return logs(out)
+
+    def logs_kept(columns, keep, sums):
+        rows = {}
+        for w in keep:
+            row = [math.log(c.get(w, 0.0) + 0.1) - math.log(s + 0.1 * (len(keep) + 1)) for c, s in zip(columns, sums, strict=True)]
+            rows[w] = [x - sum(row) / len(row) for x in row]
+        return rows
+
+    words, tables = logs([counts[g] for g in langs]), {n: grams(n) for n in (5, 4, 3, 2, 1)}
+    found = langid.words_of(text)
+    total, weight = [0.0] * len(langs), 0.0
+    for w in set(found):
+        k = math.sqrt(found.count(w))
+        row = words.get(w)
+        for n in (5, 4, 3, 2, 1) if row is None else ():
+            known = [r for i in range(len(w) + 3 - n) if (r := tables[n].get(f"<{w}>"[i : i + n])) is not None]
+            if known:
+                row = [sum(c) / len(known) for c in zip(*known, strict=True)]
+                break
+        weight += k
+        total = [t + k * x for t, x in zip(total, row or [0.0] * len(langs), strict=True)]
+    total = [t / math.sqrt(weight) for t in total]
+    best = max(range(len(langs)), key=lambda i: (total[i], -i))
+    return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+
+def test_language_scores_equal_the_definition():
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
+    counts = {g: {word(letters): rng.randint(1, 9) for _ in range(60)} for g, letters in (("a", "abcde"), ("b", "cdefg"), ("c", "efgha"))}
+    scorer = langid.Scorer(langid.Model(counts))
+    for _ in range(60):
+        text = " ".join(rng.choice([word("abcdefgh"), rng.choice(sorted(counts["b"]))]) for _ in range(rng.randint(1, 12)))
+        got, want = scorer.score(text), brute_language(counts, text)
+        assert got[0] == want[0] and math.isclose(got[1], want[1], rel_tol=1e-4), text
+
+
 def test_backoff_uses_the_longest_known_gram():
     m = langid.Model({"a": {"xyzzy": 10}, "b": {"plugh": 10}})
     assert m.vector("xyzzz").argmax() == 0 and m.vector("pluggy").argmax() == 1
@@ -188,6 +255,49 @@ def test_clause_grammar():
     assert read("what an idiot") == {"plain": 5.0} and read("you idiot") == {"targeted": 5.0} and read("not an idiot") == {"negated": 5.0}
     assert read('he said "idiot"') == {"reported": 5.0} and read("vequmo") == {"plain": 3.0} and read("I will kill you") == {"threat": 1.0}
     assert read("not a problem. idiot") == {"plain": 5.0} and read("fine words") == {}
+    assert read("idiot like you") == {"targeted": 5.0} and read("kill time") == read("do not kill you") == {}
+    assert read("he said I will kill you") == {"reported": 1.0} and read("idiot, not an idiot") == {"plain": 5.0, "negated": 5.0}
+    # Marks pair inside a line; a mark that pairs with none opens nothing.
+    assert read('a 5" pipe. you idiot. you idiot.') == {"targeted": 5.0} and read('so "he\nyou idiot') == {"targeted": 5.0}
+    assert read('"fine. you idiot. yes" you idiot') == {"reported": 5.0, "targeted": 5.0} and read("„idiot“ idiot") == {"reported": 5.0, "plain": 5.0}
+    assert read("word " * 9 + "idiot " + "word " * 9 + "you") == {"targeted": 5.0}
+
+
+def outputs(machine, symbols):
+    """Every (output, weight, label) of a machine on a string, by enumeration."""
+    paths = [((), 0.0, machine.start)]
+    for x in symbols:
+        paths = [(out + (y,), w + v, n) for out, w, s in paths for y, v, n in machine.arcs[s].get(x, ())]
+    return [(out, w, machine.finals[s]) for out, w, s in paths if s in machine.finals]
+
+
+def test_composition_equals_enumeration():
+    import itertools
+
+    stages = [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.union(toxicity.insult(), toxicity.threat())]
+    symbols = [toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OPEN, toxicity.CLOSE]
+    read = 0
+    for n in range(1, 5):
+        for string in itertools.product(symbols, repeat=n):
+            texts = {(string, 0.0, None)}
+            for machine in stages:
+                texts = {(out, w + v, label) for text, w, _ in texts for out, v, label in outputs(machine, text)}
+            want = {label: max(w for _, w, k in texts if k == label) for *_, label in texts}
+            assert toxicity.best(toxicity.GRAMMAR, [((x, 0.0),) for x in string]) == want
+            read += bool(want)
+    assert read > 300
+
+
+def test_best_path_picks_the_heaviest_hit():
+    import itertools
+
+    words = [((toxicity.INSULT, 2.0), (toxicity.OTHER, 0.0)), ((toxicity.INSULT, 5.0), (toxicity.OTHER, 0.0)), ((toxicity.NEGATION, 0.0),), ((toxicity.TARGET, 0.0),)]
+    for clause in itertools.product(words, repeat=4):
+        want: dict = {}
+        for string in itertools.product(*clause):
+            for label, _ in toxicity.best(toxicity.GRAMMAR, [((x, 0.0),) for x, _ in string]).items():
+                want[label] = max(want.get(label, 0.0), sum(w for _, w in string))
+        assert toxicity.best(toxicity.GRAMMAR, list(clause)) == want
 
 
 def test_toxicity_held_out(spark):
