@@ -60,24 +60,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Recent(dict):
-    """A memo of two generations: at ``most`` entries the older one goes, so what is
-    used often stays and what is held is bounded. ``miss`` tells which keys of a set
-    must be worked out; they are then set."""
+class Recent:
+    """A memo, ``now``, of two generations: at ``most`` entries ``turn`` lets the older
+    one go, so what is used often stays and what is held is bounded."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
+        self.most, self.now, self.older = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.older = {}, self.now
 
     def miss(self, keys: set) -> set:
-        if len(self) + len(keys) > self.most and self:
-            self.older = dict(self)
-            self.clear()
-        fresh = keys.difference(self)
+        """The keys that must be worked out and set; the others are there."""
+        fresh = keys.difference(self.now)
         older = self.older
         if older and fresh:
             again = {k: older[k] for k in fresh if k in older}
-            self.update(again)
+            self.now.update(again)
             fresh = fresh.difference(again)
         return fresh
 

@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
-def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 150_000) -> Encoder:
+def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder:
     """Ids of a byte-level BPE ``tokenizer.json``, each text followed by
     ``end_id``, as arrays of unsigned 32-bit integers.
 
@@ -67,10 +68,6 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 150_000) -> Encoder
     begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
     spaced, alone = Recent(most), Recent(most)  # words after a space; other pieces
 
-    def uneven(word: str) -> bool:
-        """Next to such a word not every space is a cut."""
-        return not word or word[0].isspace() or word[-1].isspace()
-
     def cut(text: str) -> tuple[list[str], list[str]]:
         """The text's pieces: those to encode as they are, and words after a space."""
         if not text:
@@ -79,7 +76,7 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 150_000) -> Encoder
             return [text], []
         words = text.split(" ")
         first = words[:1]
-        return ([], [""]) if uneven(first[0]) else (first, words[1:])
+        return (first, words[1:]) if first[0] and first[0] == first[0].strip() else ([], [""])
 
     def cut_unevenly(text: str) -> tuple[list[str], list[str]]:
         first, *others = CUT.split(text)
@@ -91,41 +88,43 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 150_000) -> Encoder
             some = lines[lo : lo + 50]
             for line, e in zip(some, library.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                data, at = ids.tobytes(), np.flatnonzero(begins[ids]) * 4
-                ends = [*at[1:].tolist(), len(data)]
-                spaced.update(zip(line, [data[a:b] for a, b in zip(at.tolist(), ends, strict=True)], strict=True))
+                data, at = ids.tobytes(), (np.flatnonzero(begins[ids]) * 4).tolist()
+                spaced.now.update(zip(line, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
     def learn_alone(words: list[str]) -> None:
         for lo in range(0, len(words), 4_000):
             some = words[lo : lo + 4_000]
             for word, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                alone[word] = array("I", e.ids).tobytes()
+                alone.now[word] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[array]:
+        spaced.turn()
+        alone.turn()
         parts = [cut(t) for t in texts]
         pieces, words = set(), set()
         for p, w in parts:
             pieces.update(p)
             words.update(w)
         fresh = spaced.miss(words)
-        if odd := {w for w in fresh if uneven(w)}:
+        # Beside a word that begins or ends with white space not every space is a cut.
+        if odd := {w for w in fresh if w != w.strip() or not w}:
             for i, (_, w) in enumerate(parts):
                 if not odd.isdisjoint(w):
                     parts[i] = cut_unevenly(texts[i])
                     pieces.update(parts[i][0])
             fresh -= odd
-        fresh, fresh_alone = sorted(fresh), sorted(alone.miss(pieces))
-        learn(fresh)
-        learn_alone(fresh_alone)
+        fresh_alone = alone.miss(pieces)
+        learn(list(fresh))
+        learn_alone(list(fresh_alone))
         out = []
         for p, w in parts:
-            ids = array("I", b"".join([*map(alone.__getitem__, p), *map(spaced.__getitem__, w)]))
+            ids = array("I", b"".join([*map(alone.now.__getitem__, p), *map(spaced.now.__getitem__, w)]))
             ids.append(end_id)
             out.append(ids)
         for known, some in ((spaced, fresh), (alone, fresh_alone)):
             for word in some:
                 if len(word) > 64:
-                    del known[word]
+                    del known.now[word]
         return out
 
     return encode
@@ -159,7 +158,7 @@ class Windows:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_room long"
 
 
-def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, rows_at_once: int = 128) -> DataFrame:
+def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, bytes_at_once: int = 1 << 19) -> DataFrame:
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {PIECE}" + ", ids array<long>" * with_ids
@@ -192,9 +191,11 @@ def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
-            for lo in range(0, len(keys), rows_at_once):
-                texts = [t or "" for t in batch.column(1).slice(lo, rows_at_once).to_pylist()]
-                for key, ids in zip(keys[lo : lo + rows_at_once], encode(texts), strict=True):
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // bytes_at_once)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                for key, ids in zip(keys[lo:hi], encode(texts), strict=True):
                     total = len(ids)
                     for start in range(0, total, capacity):
                         part = ids[start : start + capacity]

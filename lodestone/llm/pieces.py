@@ -170,7 +170,7 @@ class Codec:
                 if own == other and len(at) == len(line) and b"".join([self.bytes_of[i] for i in own]) == text.encode():
                     data = ids.tobytes()
                     ends = [*at[1:].tolist(), len(data)]
-                    self.known.update(zip(line, [data[a:b] for a, b in zip(at.tolist(), ends, strict=True)], strict=True))
+                    self.known.now.update(zip(line, [data[a:b] for a, b in zip(at.tolist(), ends, strict=True)], strict=True))
                 else:
                     single.update(line)
         rest = sorted(single)
@@ -181,7 +181,7 @@ class Codec:
             if drop and " " in part:  # the reference puts no space in front of nothing
                 theirs[part.index(" ")] = self.reference.encode("a ")[len(self.reference.encode("a")) :]
             for word, a, b in zip(part, ours, theirs, strict=True):
-                self.known[word] = array("I", a).tobytes()
+                self.known.now[word] = array("I", a).tobytes()
                 if a != b:
                     self.unlike.add(word)
                 if b"".join([self.bytes_of[i] for i in a]) != word.replace(MARK, " ").encode():
@@ -191,11 +191,12 @@ class Codec:
         """Per text: its ids as unsigned 32-bit integers, parity, and whether the
         ids decode to its words."""
         cut = [self.words(t) if t else [] for t in texts]
+        self.known.turn()
         every: set[str] = set()
         every.update(*cut)
         if fresh := self.known.miss(every):
             self.learn(fresh)
-        take = self.known.__getitem__
+        take = self.known.now.__getitem__
         out = []
         for words in cut:
             ids = b"".join([*map(take, words)])
