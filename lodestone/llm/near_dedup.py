@@ -28,6 +28,7 @@ rows that repeat an id share its result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,33 +130,43 @@ def bands_of(entries: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands, entries) of every document with a word. key: a 128-bit
-    hash of the word sequence; bands and entries (16 bits of each) come twice, with
-    all k-mers and with the first of each."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    """(id, th, size, key, bands, entries) of every document with a word. th: a hash of
+    the text, size: its bytes, key: a 128-bit hash of the word sequence; bands and
+    entries (16 bits of each) come twice, with all k-mers and with the first of each."""
+    t = F.col(text_col)
+    rows = docs.where(F.col(id_col).isNotNull() & t.isNotNull()).select(F.col(id_col).alias("id"), t.alias("t"), F.xxhash64(t).alias("th"), F.octet_length(t).cast("long").alias("size"))
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, keys, bands, entries = [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            at, keys, bands, entries = [], [], [], []
+            for i, t in enumerate(batch.column(1)):
                 codes = word_codes(t.as_py(), hashes)
                 if len(codes):
                     h = kmers(codes)
                     e = order_minhash(labelled(h), BANDS * ROWS)
                     once = first_of_each(h)
                     f = e if len(once) == len(h) else order_minhash(once, BANDS * ROWS)
-                    ids.append(i)
+                    at.append(i)
                     keys.append(xxhash.xxh3_128_digest(codes.tobytes()))
                     bands.append(np.concatenate([bands_of(e), bands_of(f)]))
                     entries.append((np.concatenate([e, f]) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(entries, pa.binary())],
-                names=["id", "key", "bands", "entries"],
+                [*(batch.column(i).take(take) for i in (0, 2, 3)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(entries, pa.binary())],
+                names=["id", "th", "size", "key", "bands", "entries"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, key binary, bands array<long>, entries binary")
+    return rows.mapInArrow(run, f"id {id_type}, th long, size long, key binary, bands array<long>, entries binary")
+
+
+def one_text_per_id(sketch: DataFrame) -> DataFrame:
+    """The sketches of the text that stands for each id."""
+    repeated = stored(sketch.groupBy("id").agg(F.min("th").alias("own"), F.max("th").alias("last")).where("own <> last").select("id", "own"), "repeated")
+    if repeated.isEmpty():
+        return sketch
+    return sketch.join(repeated, "id", "left").where("own is null or own = th").drop("own")
 
 
 #: A pair at similarity 0.8 is expected to share 0.64 of its sketch entries; with
@@ -255,9 +266,15 @@ def banded_lcs(a: np.ndarray, b: np.ndarray) -> int:
     pairs at the least similarity stay inside it."""
     if len(a) > len(b):
         a, b = b, a
+    # What both begin or end with is matched, as in some longest subsequence.
+    ends = 0
+    for _ in range(2):
+        apart = np.flatnonzero(a != b[: len(a)])
+        same = int(apart[0]) if len(apart) else len(a)
+        a, b, ends = a[same:][::-1], b[same:][::-1], ends + same
     m, n = len(a), len(b)
-    if not len(np.intersect1d(a, b)):
-        return 0
+    if not m or not len(np.intersect1d(a, b)):
+        return ends
     half = max(32, n // 5) + (n - m)
     row = np.zeros(n + 1, np.int32)
     for i in range(m):
@@ -268,7 +285,7 @@ def banded_lcs(a: np.ndarray, b: np.ndarray) -> int:
         row[lo + 1 : hi + 1] = np.maximum.accumulate(np.maximum(take, row[lo] if lo else 0))
         if hi < n:
             row[hi + 1 :] = np.maximum(row[hi + 1 :], row[hi])
-    return int(row.max())
+    return ends + int(row.max())
 
 
 def _agree(entries: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -287,19 +304,22 @@ BUCKETS = 1 << 18
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t) of the documents in ``ids`` (id). Only texts in a hash bucket of a
-    wanted id are shuffled."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
-    ids = ids.select("id").distinct()
-    some = ids.select(bucket.alias("_b")).distinct()
+    """(id, t) of the documents in ``ids`` (id, th). While the wanted ids leave most
+    hash buckets empty, only texts in a bucket of a wanted id are shuffled."""
+    ids = stored(ids.select("id", "th").distinct(), "wanted")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    near = texts.withColumn("_b", bucket).join(F.broadcast(some), "_b", "left_semi").drop("_b")
-    return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    if ids.count() < BUCKETS:
+        bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+        some = ids.select(bucket.alias("_b")).distinct()
+        texts = texts.withColumn("_b", bucket).join(F.broadcast(some), "_b", "left_semi").drop("_b")
+    near = texts.withColumn("th", F.xxhash64("t")).join(ids, ["id", "th"], "left_semi")
+    return near.groupBy("id").agg(F.min("t").alias("t"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ``reps`` (id, th) whose texts are similar."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = reps.select("id", "th").join(ends, "id")
     texts = stored(texts_of(docs, ends, id_col, text_col), "texts")
     id_type = pairs.schema["a"].dataType.simpleString()
     both = (
@@ -329,25 +349,64 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def _residual(members: DataFrame, block_rows: int = 1_000, block_bytes: int = 8 << 20) -> DataFrame:
-    """Links between members of a band group whose components differ: (a, b), a
-    forest for each pair of blocks. ``members``: band, id, label, entries, bands, t.
-    Groups over a block's bounds are dealt to pairs of blocks."""
-    id_type = members.schema["id"].dataType.simpleString()
-    per = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("s"))
+def _blocks(members: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """The members (band, id, size, ...) dealt to pairs of blocks of their band's group:
+    band, p, q and x, the member's own block."""
+    per = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     k = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_bytes), F.lit(1)).cast("int")
     dealt = members.join(per.select("band", k.alias("k")), "band").withColumn("x", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("x")).alias("p"), F.greatest(o, F.col("x")).alias("q")))
-    placed = dealt.withColumn("o", F.explode(others)).select("band", "o.p", "o.q", "x", "id", "label", "entries", "bands", "t")
+    return dealt.withColumn("o", F.explode(others)).select("band", "o.p", "o.q", "x", "id", "th", "label", "entries", "bands")
 
-    def run(table: pa.Table) -> pa.Table:
-        band, p, q = (table[c][0].as_py() for c in ("band", "p", "q"))
-        ids, labels = table["id"].to_pylist(), table["label"].to_pylist()
+
+class _Group:
+    """The members of one pair of blocks, and which of them to compare."""
+
+    def __init__(self, table: pa.Table):
+        self.band, self.p, self.q = (table[c][0].as_py() for c in ("band", "p", "q"))
+        labels = table["label"].to_pylist()
         number = {v: i for i, v in enumerate(dict.fromkeys(labels))}
-        group = np.array([number[v] for v in labels])
-        e, x = _unpacked(table["entries"]), table["x"].to_numpy()
-        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), 2, -1)
-        texts, hashes, ready = table["t"], WordHashes(200_000), {}
+        self.label = np.array([number[v] for v in labels])
+        self.entries, x = _unpacked(table["entries"]), table["x"].to_numpy()
+        self.keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(labels), 2, -1)
+        self.left, self.right = np.flatnonzero(x == self.p), np.flatnonzero(x == self.q)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components in the right block whose sketch agrees with
+        ``i``'s and whose first band shared with it is this one."""
+        js = self.right[self.right > i] if self.p == self.q else self.right
+        js = js[self.label[js] != self.label[i]]
+        if len(js):
+            js = js[_agree(self.entries[js], self.entries[i][None, :])]
+        if len(js):
+            same = self.keys[js] == self.keys[i]
+            first = np.where(same, self.keys[i], np.iinfo(np.int64).max).reshape(len(js), -1).min(axis=1)
+            js = js[first == self.band]
+        return js
+
+
+def _residual(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, block_rows: int = 1_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """Links between members of a band group whose components differ: (a, b), a
+    forest for each pair of blocks. ``members``: band, id, th, size, label, entries,
+    bands. Groups over a block's bounds are dealt to pairs of blocks, by sketch; texts
+    go only to those that have a partner there."""
+    id_type = members.schema["id"].dataType.simpleString()
+    placed = _blocks(members, block_rows, block_bytes)
+
+    def needed(table: pa.Table) -> pa.Table:
+        group, take = _Group(table), set()
+        for i in group.left:
+            if len(js := group.partners(i)):
+                take.add(int(i))
+                take.update(js.tolist())
+        return table.take(pa.array(sorted(take), pa.int64()))
+
+    active = stored(placed.groupBy("band", "p", "q").applyInArrow(needed, placed.schema), "open")
+    texts = texts_of(docs, active, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        group, ids = _Group(table), table["id"].to_pylist()
+        label, texts, hashes, ready = group.label, table["t"], WordHashes(200_000), {}
 
         def prepared(i: int) -> Prepared:
             if i not in ready:
@@ -355,35 +414,26 @@ def _residual(members: DataFrame, block_rows: int = 1_000, block_bytes: int = 8
             return ready[i]
 
         out_a, out_b = [], []
-        left, right = np.flatnonzero(x == p), np.flatnonzero(x == q)
-        for i in left:
-            js = right[right > i] if p == q else right
-            js = js[group[js] != group[i]]
-            if len(js):
-                js = js[_agree(e[js], e[i][None, :])]
-            if len(js):
-                same = keys[js] == keys[i]
-                first = np.where(same, keys[i], np.iinfo(np.int64).max).reshape(len(js), -1).min(axis=1)
-                js = js[first == band]
-            for j in js:
-                if group[i] != group[j] and similarity(prepared(i), prepared(j)) >= LEAST:
+        for i in group.left:
+            for j in group.partners(i):
+                if label[i] != label[j] and similarity(prepared(i), prepared(j)) >= LEAST:
                     out_a.append(min(ids[i], ids[j]))
                     out_b.append(max(ids[i], ids[j]))
-                    group[group == group[j]] = group[i]
+                    label[label == label[j]] = label[i]
         kind = table.schema.field("id").type
         return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
 
-    return placed.groupBy("band", "p", "q").applyInArrow(run, f"a {id_type}, b {id_type}")
+    return active.join(texts, "id").groupBy("band", "p", "q").applyInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): the smallest id of each document's near-duplicate class,
     for ids that share theirs with another; other ids are not listed."""
-    sketch = stored(sketches(docs, id_col, text_col), "sketches")
+    sketch = one_text_per_id(stored(sketches(docs, id_col, text_col), "sketches"))
     least = sketch.groupBy("key").agg(F.min("id").alias("rep"))
     member_of = sketch.select("key", "id").distinct().join(least, "key").select("id", "rep")
     reps = stored(
-        sketch.groupBy("key").agg(F.min(F.struct("id", "bands", "entries")).alias("s")).select("s.id", "s.bands", "s.entries"), "reps"
+        sketch.groupBy("key").agg(F.min(F.struct("id", "th", "size", "bands", "entries")).alias("s")).select("s.*"), "reps"
     )
     spread = reps.select("id", F.explode(F.array_distinct("bands")).alias("band"))
     # Star: each member with its group's smallest id; hot groups aggregate map-side.
@@ -391,15 +441,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = stored(spread.join(groups, "band").select("band", "id", "a"), "bands")
     star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     tested = stored(_sketch_agrees(star, reps), "pairs")
-    linked = stored(verified(tested, docs, id_col, text_col), "linked")
+    linked = stored(verified(tested, reps, docs, id_col, text_col), "linked")
     # Residual: what the stars left in different components.
     labels = stored(_labels(reps.select("id"), linked), "labels")
     members = shared.select("band", "id").join(labels, "id")
     open_groups = members.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
-    members = stored(members.join(open_groups, "band"), "open")
-    texts = texts_of(docs, members, id_col, text_col)
-    known = reps.select("id", "entries", "bands").join(texts, "id")
-    more = stored(_residual(members.join(known, "id")), "linked")
+    members = stored(members.join(open_groups, "band"), "open").join(reps, "id")
+    more = stored(_residual(members, docs, id_col, text_col), "linked")
     edges = linked.unionByName(more).unionByName(
         member_of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     )
@@ -434,6 +482,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that stand for their class."""
-    gone = classes(docs, id_col, text_col).where("id <> component").select(F.col("id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, unchanged, that stand for their class, one for each."""
+    gone, own, again = (f"_{name}_{uuid.uuid4().hex}" for name in ("gone", "own", "again"))
+    found = classes(docs, id_col, text_col).where("id <> component").select(F.col("id").alias(gone))
+    kept = docs.join(found, F.col(f"`{id_col}`") == F.col(gone), "left_anti")
+    # Ids that repeat among those kept: of each one row stays, with the text that stands for it.
+    th = F.xxhash64(F.col(text_col))
+    per = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias("n"), F.min(F.when(F.col(text_col).isNotNull(), th)).alias(again))
+    per = stored(per.where("n > 1").drop("n"), "repeated")
+    if per.isEmpty():
+        return kept
+    on = F.col(f"`{id_col}`") == F.col(own)
+    some = kept.join(per, on).where(F.col(again).isNull() | (F.col(text_col).isNotNull() & (th == F.col(again)))).drop(own, again).dropDuplicates([id_col])
+    return kept.join(per, on, "left_anti").unionByName(some)

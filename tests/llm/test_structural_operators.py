@@ -151,6 +151,38 @@ def test_near_dedup_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_near_dedup_ids_that_repeat_and_clashing_columns(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, b), (5, a), (5, a), (5, b), (7, None), (7, None), (None, a), (8, "only this one"), (8, "only this one")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS id", "1 AS component", "2 AS th", "3 AS _gone", "4 AS n", "5 AS kept", "6 AS t")
+    got = near_dedup.near_duplicates(d).collect()
+    assert len(got) == len(rows)
+    per = {r.doc_id: r.component_id for r in got}
+    assert per[5] in (1, 2) and per[1] == 1 and per[2] == 2 and per[7] == 7 and per[None] is None
+    kept = near_dedup.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, a), (1, a), (2, b), (7, ""), (8, "only this one")]
+
+
+@pytest.mark.parametrize("rows", [1_000, 7])
+def test_crowded_bands_in_small_blocks_equal_brute_force(spark, rows, monkeypatch):
+    """Near copies of one text whose pairs are partly under the least similarity."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    plain = near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "_blocks", lambda members, block_rows, block_bytes: plain(members, rows, block_bytes))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    comp = union([(a, b) for a in range(40) for b in range(a + 1, 40) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert all(got[i] == comp.get(i, i) for i in range(40))
+
+
 def test_residual_links_what_stars_leave(spark):
     """a and c link only through b, and the group's smallest member to none."""
     w = [f"w{i}" for i in range(200)]
