@@ -49,6 +49,21 @@ class Route:
     def plain(self) -> bool:
         return all(s[0] == "lit" for s in self.steps)
 
+    @property
+    def open(self) -> bool:
+        """Whether the last step is a catch-all or a closing mark."""
+        return bool(self.steps) and self.steps[-1][0] in ("rest", "end")
+
+    @property
+    def literal(self) -> str:
+        """The steps of a plain route as one key."""
+        return "\0".join(s[1] for s in self.steps) if self.plain else ""
+
+    def lead(self, at: int) -> str:
+        """What step ``at`` asks for: ``=text``, ``*`` (a template) or ``-`` (no step)."""
+        head = self.steps[:-1] if self.open else self.steps
+        return "-" if at >= len(head) else "=" + head[at][1] if head[at][0] == "lit" else "*"
+
 
 class BadRoute(ValueError):
     pass
@@ -179,7 +194,8 @@ _TEXT, _FLAG = T.StringType(), T.BooleanType()
 ROUTE_STRUCT = T.StructType(
     [T.StructField("valid", _FLAG)]
     + [T.StructField(n, _TEXT) for n in ("path", "canonical", "query", "fragment", "scheme", "authority")]
-    + [T.StructField("plain", _FLAG), T.StructField("slash", _FLAG)]
+    + [T.StructField("plain", _FLAG), T.StructField("slash", _FLAG), T.StructField("open", _FLAG), T.StructField("steps", T.IntegerType())]
+    + [T.StructField(n, _TEXT) for n in ("literal", "first", "second")]
 )
 
 
@@ -189,8 +205,12 @@ def route_info(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         r = route_or_none(t)
-        rows.append((False, "", "", "", "", "", "", False, False) if r is None else (True, r.path, r.canonical, r.query, r.fragment, r.scheme, r.authority, r.plain, r.slash))
-    return pd.DataFrame(rows, columns=["valid", "path", "canonical", "query", "fragment", "scheme", "authority", "plain", "slash"])
+        if r is None:
+            rows.append((False, *[""] * 6, False, False, False, 0, "", "", ""))
+        else:
+            texts_ = (r.path, r.canonical, r.query, r.fragment, r.scheme, r.authority)
+            rows.append((True, *texts_, r.plain, r.slash, r.open, len(r.steps), r.literal, r.lead(0), r.lead(1)))
+    return pd.DataFrame(rows, columns=ROUTE_STRUCT.fieldNames())
 
 
 @F.pandas_udf(T.IntegerType())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.http import CATCHALL, EXACT, METHOD, NONE, route_info, route_rank, with_destination
+from ..functions.http import CATCHALL, EXACT, METHOD, NONE, TEMPLATE, route_info, route_rank, with_destination
 from ..functions.ids import derived_edge_id, edge_id, external_id
 from ..functions.text import simple_name
 from ..plans.scratch import stored
@@ -125,27 +125,29 @@ def request_targets(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     (id, method, route) of local endpoints -> (method, route, n, to_id): the number
     of best candidates and, if it is one, its id.
 
-    Equal plain routes are an equi-join on method and canonical path. Only routes
-    not settled by it meet the templates of their method, of which a program has
-    few per method; templates are joined on method and first literal step or none.
+    Two plain routes fit if their steps are equal: an equi-join on method and steps,
+    ranked without Python. Only declared templates are ranked by it, joined on method,
+    number of steps and the first two steps, each a literal, a template or none.
     """
     asked = requests.withColumn("r", route_info("route")).where("r.valid and r.authority = ''")
     declared = endpoints.withColumn("d", route_info("route")).where("d.valid and d.authority = ''")
-    declared = declared.select("id", F.col("method").alias("d_method"), F.col("route").alias("d_route"), "d")
+    declared = declared.select("id", F.col("method").alias("m"), F.col("route").alias("d_route"), "d")
     wanted = asked.select("method", "route", "r", F.explode(F.array_distinct(F.array(F.col("method"), F.lit("ANY")))).alias("m"))
-    head = lambda c: F.regexp_extract(c, r"^/([^/]*)", 1)
-    literal = ~head(F.col("d.path")).rlike(r"[{}*%]")
-    keyed = declared.withColumn("key", F.when(literal, head(F.col("d.path"))).otherwise("{}"))
-    plain_head = head(F.col("r.path"))
-    asks = wanted.withColumn("key", F.explode(F.array_distinct(F.array(F.when(plain_head.rlike(r"[{}*%]"), F.lit("{}")).otherwise(plain_head), F.lit("{}")))))
-    # A request whose own head is a template or escaped may meet literal heads too.
-    wild = wanted.where(plain_head.rlike(r"[*%]")).join(keyed, F.col("m") == F.col("d_method"))
-    pairs = asks.join(keyed, (F.col("m") == F.col("d_method")) & (asks["key"] == keyed["key"])).drop("key")
-    pairs = pairs.unionByName(wild.drop("key")).dropDuplicates(["method", "route", "m", "id"])
-    same = F.col("r.plain") & F.col("d.plain") & (F.col("r.slash") == F.col("d.slash")) & (F.col("r.canonical") == F.col("d.canonical"))
-    easy = pairs.where(same).withColumn("rank", F.lit(EXACT))
-    hard = pairs.where(~same & ~(F.col("r.plain") & F.col("d.plain") & ~F.col("r.canonical").contains("%") & ~F.col("d.canonical").contains("%") & (F.col("r.canonical") != F.col("d.canonical"))))
-    ranked = easy.unionByName(hard.withColumn("rank", route_rank("d_route", "route"))).where(F.col("rank").between(NONE + 1, CATCHALL))
+    plain = declared.where("d.plain").select("id", "m", F.col("d.literal").alias("literal"), F.col("d.steps").alias("steps"), F.col("d.slash").alias("d_slash"))
+    easy = wanted.where("r.plain").withColumns({"literal": F.col("r.literal"), "steps": F.col("r.steps")}).join(plain, ["m", "literal", "steps"])
+    easy = easy.select("method", "route", "m", "id", F.when(F.col("r.slash") == F.col("d_slash"), EXACT).otherwise(TEMPLATE).alias("rank"))
+    # An open template (a catch-all at its end) takes any number of steps: -1.
+    keys = F.struct(F.when(F.col("d.open"), -1).otherwise(F.col("d.steps")).alias("steps"), F.col("d.first").alias("first"), F.col("d.second").alias("second"))
+    templates = declared.where("not d.plain").select("id", "m", "d_route", keys.alias("key"))
+    free = lambda c: F.array_distinct(F.array(F.col(c), F.when(F.col(c) != "-", "*").otherwise("-")))
+    asks = wanted.withColumn("a", F.explode(free("r.first"))).withColumn("b", F.explode(free("r.second")))
+    none = F.lit("-")
+    key = lambda n, a, b: F.struct(n.cast("int").alias("steps"), a.alias("first"), b.alias("second"))
+    anything = F.lit(-1)
+    some = F.array(key(F.col("r.steps"), F.col("a"), F.col("b")), key(anything, F.col("a"), F.col("b")), key(anything, F.col("a"), none), key(anything, none, none))
+    asks = asks.select("method", "route", "m", F.explode(some).alias("key")).distinct()
+    hard = asks.join(templates, ["m", "key"]).withColumn("rank", route_rank("d_route", "route")).select("method", "route", "m", "id", "rank")
+    ranked = easy.unionByName(hard).where(F.col("rank").between(NONE + 1, CATCHALL))
     # The exact method comes before ANY, then the rank.
     order = F.struct((F.col("m") != F.col("method")).alias("any"), "rank")
     scored = ranked.withColumn("o", order).groupBy("method", "route", "o").agg(F.count_distinct("id").alias("n"), F.min("id").alias("to_id"))
