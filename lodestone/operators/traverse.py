@@ -69,7 +69,8 @@ def neighborhood(edges: DataFrame, roots: DataFrame, direction: str = "both", re
         fresh = found.groupBy("root", F.col("neighbour").alias("id")).agg(F.min(place).alias("p"))
         fresh = fresh.join(visited.select("root", "id"), ["root", "id"], "left_anti")
         room = visited.groupBy("root").agg((F.lit(limit) - F.count("*")).alias("room"))
-        fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("p"))).join(room, "root")
+        # One place past the limit shows the cut; Spark drops the rest before the shuffle.
+        fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("p"))).where(F.col("n") <= limit + 1).join(room, "root")
         fresh = stored(fresh.select("root", "id", F.lit(level).alias("depth"), (F.col("n") <= F.col("room")).alias("fits")), "fresh")
         cut.append(fresh.where("not fits").select("root").distinct())
         frontier = fresh.where("fits").drop("fits")
@@ -107,38 +108,45 @@ def callees(edges: DataFrame, roots: DataFrame, depth: int = 3, limit: int = 100
     return neighborhood(edges, roots, "out", CALLER_RELATIONS, depth, limit)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, direction: str = "out", relations: list[str] | tuple[str, ...] = (), most_visited: int = 10_000, most_depth: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, direction: str = "out", relations: list[str] | tuple[str, ...] = (), most_visited: int = 10_000) -> DataFrame:
     """``pairs``: (pair, src, dst). One row per step of each pair's path: pair, step,
     id, edge_id (null at step 0); no rows for pairs without a path.
 
     A queue-ordered search: a node's parent is the earliest discovered one, ties
-    between its edges go by kind, from, to and id; ``seq`` is the discovery number."""
+    between its edges go by kind, from, to and id; ``seq`` is the discovery number. It
+    ends where nothing is left to visit or ``most_visited`` nodes were, whatever the
+    depth."""
     step = hops(edges, direction, relations)
     reached = stored(pairs.select("pair", F.col("src").alias("id"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("seq"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id")), "reached")
     goals = pairs.select("pair", F.col("dst").alias("goal"))
-    frontier = reached
-    for level in range(1, most_depth + 1):
+    frontier, level = reached, 0
+    while True:
+        level += 1
         done = reached.join(goals, (reached["pair"] == goals["pair"]) & (reached["id"] == goals["goal"]), "left_semi").select("pair").distinct()
-        counts = reached.groupBy("pair").agg(F.count("*").alias("c"), F.max("seq").alias("top"))
-        full = counts.where(F.col("c") >= most_visited).select("pair")
-        live = frontier.join(done, "pair", "left_anti").join(full, "pair", "left_anti")
+        top = reached.groupBy("pair").agg(F.max("seq").alias("top"))
+        live = frontier.join(done, "pair", "left_anti")
         found = live.select("pair", F.col("id").alias("at"), "seq").join(step, "at")
         order = F.struct("seq", *EDGE_ORDER)
         fresh = found.groupBy("pair", F.col("neighbour").alias("id")).agg(F.min(F.struct(order.alias("o"), F.col("at").alias("parent"), F.col("id").alias("edge_id"))).alias("b"))
-        fresh = fresh.join(reached.select("pair", "id"), ["pair", "id"], "left_anti").join(counts.select("pair", "top"), "pair")
+        fresh = fresh.join(reached.select("pair", "id"), ["pair", "id"], "left_anti").join(top, "pair")
         number = F.row_number().over(Window.partitionBy("pair").orderBy("b.o"))
-        frontier = stored(fresh.select("pair", "id", F.lit(level).alias("level"), (F.col("top") + number).alias("seq"), F.col("b.parent").alias("parent"), F.col("b.edge_id").alias("edge_id")), "frontier")
+        fresh = fresh.withColumn("n", number).where(F.col("n") <= most_visited).where(F.col("top") + F.col("n") <= most_visited)
+        frontier = stored(fresh.select("pair", "id", F.lit(level).alias("level"), (F.col("top") + F.col("n")).alias("seq"), F.col("b.parent").alias("parent"), F.col("b.edge_id").alias("edge_id")), "frontier")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if level % 16 == 0:  # a deep search keeps a short plan
+            reached = stored(reached, "reached")
     ends = reached.join(goals, (reached["pair"] == goals["pair"]) & (reached["id"] == goals["goal"]), "left_semi")
-    walk, path = ends, ends
-    for _ in range(most_depth):
+    walk, path, steps = ends, ends, 0
+    while True:
         back = walk.where("parent is not null").select("pair", F.col("parent").alias("id"))
         if back.isEmpty():
             break
         walk = stored(reached.join(back, ["pair", "id"], "left_semi"), "walk")
-        path = path.unionByName(walk)
+        path, steps = path.unionByName(walk), steps + 1
+        if steps % 16 == 0:
+            path = stored(path, "path")
     return path.select("pair", F.col("level").alias("step"), "id", "edge_id")
 
 

@@ -1,8 +1,9 @@
 """The index at rest: Parquet tables by repository, published as whole snapshots.
 
-``<root>/<version>/{nodes,facts,edges,files,meta}`` and a pointer file. A snapshot is
-written aside and published by moving the pointer, so readers see the old or the new
-one and a failed write leaves only an unreferenced folder."""
+``<root>/<version>/{nodes,facts,edges,files,meta}`` and pointers ``CURRENT.<n>.<version>``,
+of which the one with the highest number holds. A snapshot is written aside and published
+by creating the next pointer, one atomic step, after which older pointers go: readers see
+the old or the new one, and a failed write leaves only an unreferenced folder."""
 
 from __future__ import annotations
 
@@ -31,13 +32,17 @@ class Store:
 
     # ---- snapshots -------------------------------------------------------------
 
-    def _pointer(self):
-        return self._path(f"{self.root}/CURRENT")
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, version) of every pointer, the highest number last."""
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        parts = [n.split(".") for n in names if n.startswith("CURRENT.")]
+        return sorted((int(p[1]), p[2]) for p in parts if len(p) == 3 and p[1].isdigit())
 
     def version(self) -> str | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0].strip()
+        found = self._pointers()
+        return found[-1][1] if found else None
 
     def write(self, nodes: DataFrame, facts: DataFrame, edges: DataFrame, files: DataFrame, meta: dict[str, str] | None = None) -> str:
         """Write and publish a snapshot; its version."""
@@ -51,12 +56,12 @@ class Store:
         return version
 
     def _publish(self, version: str) -> None:
-        aside = self._path(f"{self.root}/CURRENT.{version}")
-        out = self._fs.create(aside, True)
-        out.write(version.encode())
-        out.close()
-        self._fs.delete(self._pointer(), False)
-        self._fs.rename(aside, self._pointer())
+        older = self._pointers()
+        number = older[-1][0] + 1 if older else 1
+        if not self._fs.createNewFile(self._path(f"{self.root}/CURRENT.{number:012d}.{version}")):
+            raise RuntimeError(f"{self.root}: snapshot {version} was published already")
+        for n, v in older:
+            self._fs.delete(self._path(f"{self.root}/CURRENT.{n:012d}.{v}"), False)
 
     def read(self, version: str | None = None) -> dict[str, DataFrame]:
         """The tables of a snapshot (the current one); another schema version raises."""
