@@ -37,7 +37,7 @@ class Sql:
             ("'ASIA'", "'module'", "s_name", "'mod.' || s_name", "'modules/' || s_name", "1", "FROM supplier"),
             ("'ASIA'", "'config_key'", "c_mktsegment", "'config.' || c_mktsegment", "'app.env'", "1", "FROM (SELECT DISTINCT c_mktsegment FROM customer) AS s"),
             ("'ASIA'", "'event'", "event_type", "event_type", "'events.src'", "1", "FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error') AS s"),
-            ("'AFRICA'", "'endpoint'", "'GET ' || route", "'endpoint:GET ' || route || '@' || CAST(page_id AS STRING)", "'web/' || CAST(page_id % 7 AS STRING) || '.src'", "CAST(page_id + 1 AS INT)", f"FROM ({self.routes()}) AS s WHERE page_id % 2 = 0"),
+            ("'AFRICA'", "'endpoint'", "declared", ENDPOINT_NAME, "'web/' || CAST(page_id % 7 AS STRING) || '.src'", "CAST(page_id + 1 AS INT)", f"FROM ({self.routes()}) AS s"),
         ]
         return "\nUNION ALL ".join(
             f"SELECT {repo} AS repository, {self.sid('n', kind, qn)} AS id, {kind} AS kind, {name} AS name, {qn} AS qualified_name, "
@@ -47,9 +47,13 @@ class Sql:
         )
 
     def routes(self) -> str:
-        """page_id, route: the path of a page's URL."""
+        """page_id, route (the path of a page's URL) and declared: the page's endpoint,
+        some with a template, a catch-all or any method."""
         path = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/+$', '')"
-        return f"SELECT page_id, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS route FROM pages"
+        first, last = "regexp_extract(route, '^/([^/]*)', 1)", "regexp_extract(route, '([^/]*)$', 1)"
+        template = f"CASE WHEN page_id % 10 = 3 THEN '/' || {first} || '/{{id}}' WHEN page_id % 10 = 7 THEN '/{{lang}}/' || {last} WHEN page_id % 50 = 11 THEN '/' || {first} || '/{{rest...}}' ELSE route END"
+        plain = f"SELECT page_id, CASE WHEN {path} = '' THEN '/' ELSE {path} END AS route FROM pages"
+        return f"SELECT page_id, route, CASE WHEN page_id % 10 = 5 THEN 'ANY ' ELSE 'GET ' END || {template} AS declared FROM ({plain}) AS plain_routes"
 
     def facts(self) -> str:
         """facts: repository, id, from_id, source, source_kind, kind, target_id,
@@ -90,8 +94,18 @@ class Sql:
         user = "FROM events JOIN orders ON user_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
         path = "n_name || '/' || c_name || '.src'"
         pages = f"FROM ({self.routes()}) AS p JOIN (SELECT page_id AS other, route AS asked FROM ({self.routes()}) AS q) AS t ON t.other = p.page_id + 1 JOIN orders ON o_orderkey = p.page_id JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+        endpoint, web = self.sid("n", "'endpoint'", ENDPOINT_NAME), f"FROM ({self.routes()}) AS s"
+        web_path = "'web/' || CAST(page_id % 7 AS STRING) || '.src'"
+
+        def beside(tag: str, kind_: str, target_: str, where: str) -> str:
+            return simple("'AFRICA'", tag, ("page_id",), endpoint, kind_, "''", f"{web} WHERE {where}", web_path, target_)
+
         return "\nUNION ALL ".join([
             item, failures,
+            beside("handler", "handled_by", "'op' || CAST(page_id AS STRING)", "page_id % 3 < 2"),
+            beside("second", "handled_by", "'op' || CAST(page_id + 1 AS STRING)", "page_id % 3 = 1"),
+            beside("lost", "handled_by", "'handler.missing' || CAST(page_id AS STRING)", "page_id % 6 = 2"),
+            beside("guard", "uses_middleware", "'op' || CAST(page_id + 2 AS STRING)", "page_id % 5 = 0"),
             simple("r_name", "owns", ("n_name",), self.sid("n", "'repository'", "'repo.' || r_name"), "contains", self.sid("n", "'component'", "'component.' || n_name"), "FROM nation JOIN region ON n_regionkey = r_regionkey"),
             simple("r_name", "holds", ("c_name",), self.sid("n", "'component'", "'component.' || n_name"), "contains", file, CUSTOMERS),
             simple("r_name", "declares", ("o_orderkey",), file, "declares", order, ORDERS, path),
@@ -120,7 +134,10 @@ base AS (SELECT f.*, CASE WHEN f.target_id <> '' THEN t.id WHEN h.n = 1 THEN h.f
   FROM facts f LEFT JOIN nodes t ON t.id = f.target_id AND f.target_id <> ''
   LEFT JOIN hit h ON f.target_id = '' AND h.edge_kind = f.kind AND h.q = f.target AND h.k = f.target_kind WHERE f.kind <> 'requests'),
 asks AS (SELECT DISTINCT target AS q FROM facts WHERE kind = 'requests' AND http_authority = ''),
-routes AS (SELECT q, count(*) AS n, min(id) AS found FROM asks JOIN nodes ON nodes.kind = 'endpoint' AND nodes.name = q GROUP BY q),
+eps AS (SELECT id, split_part(name, ' ', 1) AS m, substr(name, instr(name, ' ') + 1) AS r FROM nodes WHERE kind = 'endpoint'),
+cand AS (SELECT q, id, (m <> split_part(q, ' ', 1))::INT * 10 + CASE WHEN r = substr(q, instr(q, ' ') + 1) THEN 1 WHEN r LIKE '%{{rest...}}' THEN 3 ELSE 2 END AS o FROM asks JOIN eps ON m IN (split_part(q, ' ', 1), 'ANY')
+  AND regexp_full_match(substr(q, instr(q, ' ') + 1), replace(replace(replace(replace(replace(r, '{{rest...}}', '<'), '.', '[.]'), '{{id}}', '[^/]+'), '{{lang}}', '[^/]+'), '<', '.+'))),
+routes AS (SELECT q, count(DISTINCT id) AS n, min(id) AS found FROM (SELECT *, min(o) OVER (PARTITION BY q) AS least FROM cand) WHERE o = least GROUP BY q),
 web AS (SELECT f.*, CASE WHEN r.n = 1 THEN r.found END AS found, f.target AS q, 'endpoint' AS k,
   CASE WHEN f.http_authority <> '' THEN 'external' WHEN r.n = 1 THEN 'resolved' WHEN r.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution
   FROM facts f LEFT JOIN routes r ON f.http_authority = '' AND r.q = f.target WHERE f.kind = 'requests'),
@@ -145,6 +162,7 @@ def _grouped(table: dict[str, tuple[str, ...]]) -> dict[tuple[str, ...], list[st
 
 
 QUOTE, QUOTED_FAIL, EMPTY = "'", "'failure'", "''"
+ENDPOINT_NAME = "'endpoint:' || declared || '@' || CAST(page_id AS STRING)"
 ORDER_KIND = "CASE o_orderkey % 4 WHEN 1 THEN 'method' WHEN 2 THEN 'test' ELSE 'function' END"
 PART_KIND = "CASE p_size % 5 WHEN 0 THEN 'type' WHEN 1 THEN 'table' WHEN 2 THEN 'class' WHEN 3 THEN 'view' ELSE 'method' END"
 TEST_ROLE = "CASE WHEN o_orderkey % 11 = 0 THEN 'helper' ELSE '' END"

@@ -193,12 +193,12 @@ def _roots(g: Graph, *kinds: str) -> DataFrame:
 
 @registered("g5_callers", _walk("'method'", ("calls", "handled_by"), "in", 3) + "SELECT root, id, depth FROM reached")
 def callers_query(g: Graph) -> DataFrame:
-    return traverse.callers(g.edges, _roots(g, "method"))[0]
+    return traverse.callers(g.edges, _roots(g, "method"), limit=1_000_000)[0]
 
 
 @registered("g5_callees", _walk("'test'", ("calls", "handled_by"), "out", 3) + "SELECT root, id, depth FROM reached")
 def callees_query(g: Graph) -> DataFrame:
-    return traverse.callees(g.edges, _roots(g, "test"))[0]
+    return traverse.callees(g.edges, _roots(g, "test"), limit=1_000_000)[0]
 
 
 @registered(
@@ -348,19 +348,52 @@ def ownership_query(g: Graph) -> DataFrame:
     return topology.ownership(g.edges, g.nodes)
 
 
-@registered("to2_endpoints", "SELECT id, repository, 'GET' AS method, substr(name, 5) AS route FROM nodes WHERE kind = 'endpoint'")
+@registered("to2_endpoints", "SELECT id, repository, split_part(name, ' ', 1) AS method, substr(name, instr(name, ' ') + 1) AS route FROM nodes WHERE kind = 'endpoint'")
 def endpoints_query(g: Graph) -> DataFrame:
     return topology.endpoints(g.nodes).select("id", "repository", "method", "route")
 
 
-@registered("to3_handlers", "SELECT id AS subject, 'missing' AS status FROM nodes WHERE kind = 'endpoint'")
+@registered(
+    "to2_route_filter",
+    "SELECT id, split_part(name, ' ', 1) AS method FROM nodes WHERE kind = 'endpoint' AND substr(name, instr(name, ' ') + 1) IN ('/en/825', '/en/{id}', '/{lang}/825', '/en/{rest...}')",
+)
+def route_filter_query(g: Graph) -> DataFrame:
+    return topology.endpoints(g.nodes, route="/en/825").select("id", "method")
+
+
+_SITE_NAMES = {"handled_by": "handlers", "uses_middleware": "middleware"}
+
+
+@registered(
+    "to2_endpoint_sites",
+    f"""SELECT e.from_id AS subject, CASE e.kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SITE_NAMES.items())} END AS relation, e.id AS edge_id, e.to_id AS node_id, x.external
+FROM edges e JOIN (SELECT id, min(external) AS external FROM all_nodes GROUP BY id) x ON x.id = e.to_id JOIN nodes n ON n.id = e.from_id AND n.kind = 'endpoint' WHERE e.kind IN ({quoted(_SITE_NAMES)})""",
+)
+def endpoint_sites_query(g: Graph) -> DataFrame:
+    return topology.endpoint_sites(g.edges, g.nodes, g.local.where("kind = 'endpoint'")).select("subject", "relation", "edge_id", "node_id", "external")
+
+
+@registered(
+    "to3_handlers",
+    """, x AS (SELECT id, min(external) AS external FROM all_nodes GROUP BY id), h AS (SELECT e.from_id, count(DISTINCT e.to_id) AS n, bool_or(x.external) AS x FROM edges e JOIN x ON x.id = e.to_id WHERE e.kind = 'handled_by' GROUP BY e.from_id)
+SELECT n.id AS subject, CASE WHEN h.n IS NULL THEN 'missing' WHEN h.n > 1 THEN 'ambiguous' WHEN h.x THEN 'unresolved' ELSE 'resolved' END AS status, coalesce(h.n, 0) AS n_handlers FROM nodes n LEFT JOIN h ON h.from_id = n.id WHERE n.kind = 'endpoint'""",
+)
 def handlers_query(g: Graph) -> DataFrame:
-    return topology.handlers(g.edges, g.nodes, g.local.where("kind = 'endpoint'")).select("subject", "status")
+    found = topology.handlers(g.edges, g.nodes, g.local.where("kind = 'endpoint'"))
+    return found.select("subject", "status", F.size("handlers").cast("long").alias("n_handlers"))
+
+
+@registered(
+    "j3_external_requests",
+    "SELECT e.id, e.fact_id, e.from_id, e.to_id, x.qualified_name AS target FROM edges e JOIN externals x ON x.id = e.to_id AND x.repository = e.repository WHERE e.kind = 'requests'",
+)
+def external_requests_query(g: Graph) -> DataFrame:
+    return topology.external_requests(g.edges, g.nodes).select("id", "fact_id", "from_id", "to_id", "target")
 
 
 @registered(
     "to4_outbound_requests",
-    """, asked AS (SELECT e.fact_id AS request, e.from_id AS source_id, e.repository, e.id AS edge_id, e.to_id, f.target, f.http_authority, e.resolution FROM edges e JOIN facts f ON f.id = e.fact_id WHERE e.kind = 'requests')
+    """, asked AS (SELECT e.fact_id AS request, e.from_id AS source_id, e.repository, e.id AS edge_id, e.to_id, coalesce(n.name, f.target) AS target, f.http_authority, e.resolution FROM edges e JOIN facts f ON f.id = e.fact_id LEFT JOIN nodes n ON n.id = e.to_id WHERE e.kind = 'requests')
 SELECT request, source_id, repository, split_part(target, ' ', 1) AS method, substr(target, instr(target, ' ') + 1) AS route, edge_id, resolution, CASE WHEN http_authority <> '' THEN 'external' ELSE 'local' END AS authority, to_id AS target_id FROM asked""",
 )
 def outbound_query(g: Graph) -> DataFrame:
@@ -380,7 +413,7 @@ def event_links_query(g: Graph) -> DataFrame:
 @registered(
     "to6_service_links",
     _LINKS
-    + """, http AS (SELECT s.service AS from_service, coalesce(t.service, 'external:' || f.target) AS to_service, f.target AS name, e.resolution AS status, count(DISTINCT e.id) AS n_edges FROM edges e JOIN facts f ON f.id = e.fact_id JOIN svc s ON s.id = e.from_id LEFT JOIN svc t ON t.id = e.to_id WHERE e.kind = 'requests' GROUP BY ALL)
+    + """, http AS (SELECT s.service AS from_service, coalesce(t.service, 'external:' || f.target) AS to_service, coalesce(n.name, f.target) AS name, e.resolution AS status, count(DISTINCT e.id) AS n_edges FROM edges e JOIN facts f ON f.id = e.fact_id JOIN svc s ON s.id = e.from_id LEFT JOIN svc t ON t.id = e.to_id LEFT JOIN nodes n ON n.id = e.to_id WHERE e.kind = 'requests' GROUP BY ALL)
 SELECT 'http' AS kind, * FROM http UNION ALL SELECT 'event', a.service, b.service, a.event, 'resolved', count(DISTINCT a.id) + count(DISTINCT b.id) FROM pe a JOIN pe b ON a.event = b.event AND a.kind = 'publishes' AND b.kind = 'subscribes' GROUP BY ALL""",
 )
 def service_links_query(g: Graph) -> DataFrame:
