@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, federation, match, messageflow, reports, search, semantic, topology, traverse
+from .operators import catalog, federation, incremental, match, messageflow, reports, scenes, search, semantic, topology, traverse
 from .operators.resolve import resolve
+from .plans.run import Run
 from .plans.scratch import stored
 from .plans.ship import ship
 from .sources import discover
@@ -22,6 +23,7 @@ class Engine:
         self.nodes, self.facts, self.files = nodes, facts, files
         self.edges = stored(federation.federated_edges(edges, nodes), "federated") if federated else edges
         self.federated = federated
+        self.report = self.problems = self.skipped = None  # of the run that made it
 
     @classmethod
     def open(cls, store: Store, federated: bool = False) -> Engine:
@@ -31,7 +33,8 @@ class Engine:
     @classmethod
     def index(cls, spark: SparkSession, roots: dict[str, str], store: Store | None = None, config: dict | None = None) -> Engine:
         """Read, extract and resolve folders (repository -> path); with ``store``
-        publish the result."""
+        publish the result. The engine carries ``report`` (phase, seconds, rows),
+        ``problems`` (diagnostics of the frontends) and ``skipped`` (files not read)."""
         ship(spark)
         config = config or {}
         scope = config.get("index", {})
@@ -40,18 +43,30 @@ class Engine:
         for p in parts[1:]:
             files = files.unionByName(p)
         files = stored(files, "files")
-        nodes, facts, _ = extract(files)
+        report = Run()
+        report.add("discover", files)
+        nodes, facts, problems = extract(files, config.get("adapters"))
+        report.add("extract", nodes)
         for name in roots:
             n, f = discover.components(spark, files.where(F.col("repository") == name), name, config)
             nodes, facts = nodes.unionByName(n), facts.unionByName(f)
         nodes, facts = stored(nodes.dropDuplicates(["repository", "id"]), "nodes"), stored(facts.dropDuplicates(["id"]), "facts")
+        report.add("facts", facts)
         edges, externals = resolve(nodes, facts)
+        edges = stored(edges, "edges")
+        report.add("resolve", edges)
         everything = nodes.unionByName(externals.select(*nodes.columns))
-        ledger = files.select("repository", "path", "hash", F.lit("").alias("language"), "size", "modified_ns", F.lit("").alias("evidence_digest"))
+        digests = incremental.evidence_digest(nodes, facts).withColumnRenamed("owner_file", "path")
+        ledger = files.join(digests, ["repository", "path"], "left").select("repository", "path", "hash", F.lit("").alias("language"), "size", "modified_ns", F.coalesce("digest", F.lit("")).alias("evidence_digest"))
         if store is not None:
             store.write(everything, facts, edges, ledger)
-            return cls.open(store, len(roots) > 1)
-        made = cls(everything, facts, stored(edges, "edges"), files, len(roots) > 1)
+            made = cls.open(store, len(roots) > 1)
+            report.add("publish", made.nodes)
+        else:
+            made = cls(everything, facts, edges, files, len(roots) > 1)
+        made.report = report.rows(spark)
+        made.problems = problems
+        made.skipped = files.where("skipped is not null").select("repository", "path", "skipped")
         return made
 
     # ---- symbols ---------------------------------------------------------------
@@ -59,6 +74,7 @@ class Engine:
     def _ids(self, selectors: list[str], kind: str = "") -> DataFrame:
         """(root): the ids that selectors mean; one that is missing or ambiguous
         raises, with its status."""
+        selectors = scenes.resource_selectors(self.nodes, selectors, kind)
         asked = self.spark.createDataFrame([(s,) for s in selectors], "selector string")
         rows = match.resolve_selectors(self.nodes, asked, kind).collect()  # one row a selector
         if bad := {r["selector"]: r["status"] for r in rows if r["status"] != "found"}:
@@ -137,6 +153,9 @@ class Engine:
         found = topology.endpoints(self.nodes, method, route)
         return found, topology.endpoint_sites(self.edges, self.nodes, found)
 
+    def list_external_requests(self, after: tuple[str, str, str] | None = None, limit: int | None = None) -> DataFrame:
+        return topology.external_requests(self.edges, self.nodes, after, limit)
+
     def list_outbound_requests(self, repositories: list[str] | None = None) -> DataFrame:
         return topology.outbound_requests(self.edges, self.nodes, repositories)
 

@@ -16,7 +16,6 @@ from .catalog import relation_sites
 from .match import canonical_messages
 from .reports import one_per_id
 from .resolve import prop
-from .topology import ownership
 
 GENERATORS = ("protoc-gen-go", "protoc-gen-gdscript")
 ROLES_IN = {"generated_from": "binding", "encodes": "encoder", "decodes": "decoder", "carries": "carrier"}
@@ -110,6 +109,33 @@ def coverage(edges: DataFrame, nodes: DataFrame, messages: DataFrame, limit: int
     return rows.select("message", *[f"n_{r}" for r in ("binding", "encoder", "decoder", "send", "receive", "member", "handler", "dynamic", "conflicts")], "truncated", "uncertain", "gaps", "status"), parts
 
 
+def owners_by_alias(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component): a component itself, else the component of the file that a local
+    node's id, owner, path, qualified name or name, in this order, stands for.
+
+    A file answers to its id, qualified name, path and owner, and weakly to its name. A
+    key of several files is dropped if one of them has it weakly; two components that
+    claim one key otherwise raise."""
+    local = nodes.where("not external")
+    files = local.where("kind = 'file'").select("repository", F.col("id").alias("file"), "qualified_name", "path", "owner_file", "name")
+    parts = local.where("kind = 'component'").select("repository", F.col("id").alias("component"))
+    held = edges.where("kind = 'contains'").select(F.col("from_id").alias("component"), F.col("to_id").alias("file")).distinct()
+    held = held.join(parts, "component").join(files, ["repository", "file"])
+    alias = lambda c, weak: F.struct(F.col(c).alias("key"), F.lit(weak).alias("weak"))
+    keys = F.array(*[alias(c, False) for c in ("file", "qualified_name", "path", "owner_file")], alias("name", True))
+    claims = held.select("repository", "component", "file", F.explode(keys).alias("k")).where("k.key <> ''").groupBy("repository", "k.key").agg(
+        F.count_distinct("file").alias("n"), F.bool_or("k.weak").alias("weak"), F.min("component").alias("c"), F.max("component").alias("d")
+    )
+    claims = claims.where("n = 1 or not weak")
+    conflict = F.raise_error(F.concat(F.lit("two components own "), F.col("key"))).cast("string")
+    claims = claims.select("repository", "key", F.when(F.col("c") == F.col("d"), F.col("c")).otherwise(conflict).alias("component"))
+    tried = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias("key")) for i, c in enumerate(("id", "owner_file", "path", "qualified_name", "name"))])
+    asks = local.select("repository", "id", F.explode(tried).alias("t")).where("t.key <> ''").select("repository", "id", "t.place", "t.key")
+    hits = asks.join(claims, ["repository", "key"]).groupBy("id").agg(F.min_by("component", "place").alias("component"))
+    own = parts.select(F.col("component").alias("id"), "component").distinct()
+    return own.unionByName(hits.join(own.select("id"), "id", "left_anti"))
+
+
 def message_coverage(edges: DataFrame, nodes: DataFrame, package: str = "", status: str = "", component: str = "", limit: int = 1000) -> DataFrame:
     """Coverage of every canonical message, filters before the limit, by repository
     and qualified name. ``component`` keeps messages with evidence that it owns."""
@@ -120,7 +146,7 @@ def message_coverage(edges: DataFrame, nodes: DataFrame, package: str = "", stat
     if status:
         rows = rows.where(F.col("status") == status)
     if component:
-        own = ownership(edges, nodes).where(F.col("component") == component).select(F.col("id").alias("node_id"))
+        own = owners_by_alias(edges, nodes).where(F.col("component") == component).select(F.col("id").alias("node_id"))
         mine = evidence(edges, nodes, messages.select("id")).join(own, "node_id", "left_semi").select("message").distinct()
         rows = rows.join(mine, "message", "left_semi")
     return rows.orderBy("repository", "qualified_name", "message").limit(limit)

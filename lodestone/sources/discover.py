@@ -51,20 +51,33 @@ def load_config(text: str) -> dict:
         globs = index.get(key, [])
         if not isinstance(globs, list) or any(not isinstance(g, str) or g.startswith("/") or ".." in g.split("/") for g in globs):
             raise ValueError(f"index.{key} is a list of relative globs")
+    if "adapters" in data:
+        from .effects import load_adapters
+
+        data["adapters"] = load_adapters(data["adapters"])
     return data
 
 
+def checkout_files(top: str) -> set[str] | None:
+    """Paths that git tracks or would track (its ignore rules applied); None where
+    ``top`` is no checkout."""
+    done = subprocess.run(["git", "-C", top, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, timeout=600)
+    return set(done.stdout.decode("utf-8", "surrogateescape").split("\0")) - {""} if done.returncode == 0 else None
+
+
 def list_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]]:
     """(uri, path, size, modified_ns) of every file outside ignored folders, hidden
-    files too (Spark's own file source leaves those and ``__init__.py`` out)."""
+    files too (Spark's own file source leaves those and ``__init__.py`` out). In a
+    checkout only what git tracks, or would track by its ignore rules."""
     base = root.rstrip("/")
     if "://" not in base or base.startswith("file://"):
         top, out = base.removeprefix("file://"), []
+        tracked = checkout_files(top)
         for folder, folders, names in os.walk(top):
             folders[:] = sorted(f for f in folders if f not in IGNORED)
             for n in sorted(names):
                 full = os.path.join(folder, n)
-                if os.path.isfile(full) and not os.path.islink(full):
+                if os.path.isfile(full) and not os.path.islink(full) and (tracked is None or os.path.relpath(full, top) in tracked):
                     st = os.stat(full)
                     out.append((f"file://{os.path.abspath(full)}", os.path.relpath(full, top), st.st_size, st.st_mtime_ns))
         return out
@@ -112,8 +125,8 @@ def read_files(spark: SparkSession, root: str, repository: str, include: list[st
 
 
 def components(spark: SparkSession, files: DataFrame, repository: str, config: dict) -> tuple[DataFrame, DataFrame]:
-    """(nodes, facts) of the workspace: the repository, its components, and which
-    files each contains (root ``.``, the file itself, or a folder prefix)."""
+    """(nodes, facts) of the workspace: the repository and its files, its components, and
+    which files each contains (root ``.``, the file itself, or a folder prefix)."""
     from ..functions.ids import py_stable_id, stable_id
     from ..vocab import FACTS, NODES, WORKSPACE_OWNER
 
@@ -129,7 +142,9 @@ def components(spark: SparkSession, files: DataFrame, repository: str, config: d
     inside = (F.col("root") == ".") | (F.col("path") == F.col("root")) | F.startswith(F.col("path"), F.concat("root", F.lit("/")))
     held = files.select("path").join(F.broadcast(roots), inside).select(F.col("component").alias("a"), stable_id("n", "file", F.concat(F.lit(f"{repository}:"), "path")).alias("b"))
     top = spark.createDataFrame([(repo[1], c[1]) for c in own], "a string, b string")
-    pairs = held.unionByName(top)
+    # The repository contains its files, as each component contains its own.
+    every = files.select(F.lit(repo[1]).alias("a"), stable_id("n", "file", F.concat(F.lit(f"{repository}:"), "path")).alias("b"))
+    pairs = held.unionByName(top).unionByName(every)
     facts = pairs.select(
         F.lit(repository).alias("repository"), stable_id("f", WORKSPACE_OWNER, F.col("a"), "contains", F.col("b"), "0", "0").alias("id"), F.col("a").alias("from_id"), F.lit("").alias("source"), F.lit("").alias("source_kind"),
         F.lit("contains").alias("kind"), F.lit("workspace").alias("producer"), F.col("b").alias("target_id"), F.lit("").alias("target"), F.lit("").alias("target_kind"), F.lit("").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("column_no"), F.lit(0).alias("end_line"),

@@ -46,12 +46,17 @@ def parser_for(path: str) -> tuple[str, Parser] | None:
     return None
 
 
-def parse_file(repository: str, path: str, text: str) -> Result:
+def parse_file(repository: str, path: str, text: str, adapters: list | None = None) -> Result:
     found = parser_for(path)
     if found is None:
         return Result()
     try:
-        return found[1](repository, path, text)
+        result = found[1](repository, path, text)
+        if adapters:
+            from ..effects import apply
+
+            result = apply(adapters, found[0], text, result)
+        return result
     except Exception as e:  # a parser's failure is evidence about its file
         return Result(diagnostics=[{"repository": repository, "path": path, "line": 1, "level": "error", "message": f"{type(e).__name__}: {e}"}])
 
@@ -59,15 +64,15 @@ def parse_file(repository: str, path: str, text: str) -> Result:
 _ROW = T.StructType([T.StructField("nodes", T.ArrayType(NODES)), T.StructField("facts", T.ArrayType(FACTS)), T.StructField("diagnostics", T.ArrayType(DIAGNOSTICS))])
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract(files: DataFrame, adapters: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``files``: (repository, path, content) -> (nodes, facts, diagnostics). Files
-    without a content are left out. The parsed rows are kept in the shared folder,
+    without a content are left out; ``adapters`` are the configured call effects. The parsed rows are kept in the shared folder,
     since three tables are read from them."""
     from ...plans.scratch import stored
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [parse_file(r, p, c) for r, p, c in zip(batch["repository"], batch["path"], batch["content"], strict=True)]
+            rows = [parse_file(r, p, c, adapters) for r, p, c in zip(batch["repository"], batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame({"nodes": [r.nodes for r in rows], "facts": [r.facts for r in rows], "diagnostics": [r.diagnostics for r in rows]})
 
     parsed = stored(files.where("content is not null").select("repository", "path", "content").mapInPandas(run, _ROW), "parsed")
