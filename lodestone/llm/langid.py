@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample
 
-#: Word characters that are neither letters nor decimal digits, such as a raised 2.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(f"[^\\W\\d_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 NGRAMS = (5, 4, 3, 2, 1)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of word characters that hold a letter (a raised 2 is none)."""
+    found = WORD.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
 class Model:
@@ -77,6 +77,9 @@ class Model:
         rows -= rows.mean(axis=1, keepdims=True)
         return {w: i for i, w in enumerate(keys)}, rows.astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "scorer"}
+
     def vector(self, word: str) -> np.ndarray:
         """Centred log-likelihoods of one word, by language."""
         at = self.words.get(word)
@@ -91,12 +94,19 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; remembers the vectors of up to ``remember`` words."""
+    """Scores texts; remembers the vectors of some ``remember`` words."""
 
     def __init__(self, model: Model, remember: int = 300_000):
         self.model, self.remember = model, remember
         self._clear()
 
+    @classmethod
+    def of(cls, model: Model) -> Scorer:
+        """The one scorer of a process's model, for all its tasks."""
+        if not hasattr(model, "scorer"):
+            model.scorer = cls(model)
+        return model.scorer
+
     def _clear(self) -> None:
         vector, model = self.model.vector, self.model
         self.rows = np.zeros((1024, len(model.langs)), np.float32)
@@ -160,9 +170,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for batch in batches:
-            got = [scorer.score(t.as_py()) for t in batch.column(1)]
+            got = [scorer.score(t) for lo in range(0, batch.num_rows, 256) for t in batch.column(1).slice(lo, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 names=[id_col, "lang_pred", "score"],
@@ -177,9 +187,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer.of(shared.value)
         for batch in batches:
-            keep = [scorer.score(t.as_py())[0] != UNKNOWN for t in batch.column(at)]
+            keep = [scorer.score(t)[0] != UNKNOWN for lo in range(0, batch.num_rows, 256) for t in batch.column(at).slice(lo, 256).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

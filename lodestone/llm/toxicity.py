@@ -299,8 +299,14 @@ class Model:
     def __init__(self, words: dict[str, float], stems: dict[str, float], weights: np.ndarray, bias: float):
         self.words, self.stems, self.weights, self.bias = words, stems, weights, bias
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.words, self.stems)
+        """The one lexicon of a process's model, for all its tasks."""
+        if not hasattr(self, "memo"):
+            self.memo = Lexicon(self.words, self.stems)
+        return self.memo
 
     def score(self, text: str | None, lexicon: Lexicon) -> float:
         z = float(features(text, lexicon) @ self.weights) + self.bias

