@@ -76,7 +76,7 @@ def test_stream_of_changes(engine, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     now = Engine.open(store)
-    assert now.find_symbols("app.db.other").count() == 1
+    assert [r.qualified_name for r in now.find_symbols("app.db.other").collect()] == ["app.db.other", "app.db.other.x"]
     far = now.edges.where("kind = 'calls'").join(now.nodes.where("external").select("id"), now.edges["to_id"] == now.nodes["id"])
     assert far.count() >= 1  # charge's call is open again
     assert apply_changes(store, spark.createDataFrame([tuple(change.values())], "repository string, path string, content string, hash string, sequence long")) is None
