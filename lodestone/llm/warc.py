@@ -7,7 +7,7 @@ that single records can be read by seeking. It holds one record at a time.
 
 Archives live in the shared folder. A task writes under a name of its own attempt
 and reports it in its result rows, so a task that runs twice leaves an unread file,
-never a half-read one.
+never a half-read one. Ids are integers; a column of another type raises.
 
 Results for odd input: a null page is an empty payload; a null id is written as
 ``null`` and read back as null, and is never referred to; rows that repeat an id and
@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import fresh_dir, stored
 
@@ -36,6 +37,7 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
+MOST_HEADER = 1 << 22
 GZIP = 31  # window bits of zlib for the gzip container
 
 
@@ -70,19 +72,21 @@ def headers_of(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def inflated(source: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of one or more members, in pieces."""
-    z = zlib.decompressobj(GZIP)
+    """The plain bytes of a gzip file of one or more members, in pieces of at most
+    ``chunk``. A file that ends inside a member raises."""
+    z, inside = zlib.decompressobj(GZIP), False
     while data := source.read(chunk):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
-            if z.eof and data:
+            if z.eof:
                 z = zlib.decompressobj(GZIP)
-            elif z.eof:
-                z = zlib.decompressobj(GZIP)
-                break
-            else:
-                break
+            yield z.decompress(data, chunk)
+            inside = not z.eof
+            data = z.unused_data if z.eof else z.unconsumed_tail
+    while inside and (piece := z.decompress(b"", chunk)):
+        yield piece
+        inside = not z.eof
+    if inside:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def split_records(plain: Iterator[bytes]) -> Iterator[bytes]:
@@ -95,6 +99,8 @@ def split_records(plain: Iterator[bytes]) -> Iterator[bytes]:
             if need < 0:
                 end = held.find(b"\r\n\r\n")
                 if end < 0:
+                    if len(held) > MOST_HEADER:
+                        raise ValueError("a record's header has no end")
                     break
                 fields, begin = headers_of(bytes(held[: end + 4]))
                 need = begin + int(fields["content-length"]) + 4
@@ -139,6 +145,8 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """id, url, html, payload digest and size, and for revisits refers_to."""
+    if not isinstance(pages.select(id_col).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_col} holds no integers")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
