@@ -96,7 +96,7 @@ class Model:
 class Scorer:
     """Scores texts; remembers the vectors of some ``remember`` words."""
 
-    def __init__(self, model: Model, remember: int = 300_000):
+    def __init__(self, model: Model, remember: int = 120_000):
         self.model, self.remember = model, remember
         self._clear()
 
@@ -148,8 +148,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[g].update(words_of(t))
+            for g, t in zip(batch.column(0), batch.column(1), strict=True):
+                seen[g.as_py()].update(words_of(t.as_py()))
             flat = [(g, w, n) for g, c in seen.items() for w, n in c.items()]
             g, w, n = zip(*flat, strict=True) if flat else ((), (), ())
             yield pa.RecordBatch.from_arrays(

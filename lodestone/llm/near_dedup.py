@@ -48,7 +48,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class WordHashes(dict):
     """word -> 64-bit hash, remembering up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
@@ -406,7 +406,7 @@ def _residual(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, b
 
     def run(table: pa.Table) -> pa.Table:
         group, ids = _Group(table), table["id"].to_pylist()
-        label, texts, hashes, ready = group.label, table["t"], WordHashes(200_000), {}
+        label, texts, hashes, ready = group.label, table["t"], WordHashes(), {}
 
         def prepared(i: int) -> Prepared:
             if i not in ready:

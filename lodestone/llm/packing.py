@@ -41,7 +41,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
-def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder:
+def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 120_000) -> Encoder:
     """Ids of a byte-level BPE ``tokenizer.json``, each text followed by
     ``end_id``, as arrays of unsigned 32-bit integers.
 

@@ -93,7 +93,7 @@ class Lexicon(dict):
     """word -> its (symbol, weight) alternatives: the first transducer, as a memo
     that fills itself. ``words`` and ``stems`` map learned insults to their weights."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], remember: int = 400_000):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], remember: int = 120_000):
         super().__init__()
         self.words, self.stems, self.remember = words, stems, remember
 
@@ -320,7 +320,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic in ((t.as_py(), y.as_py()) for t, y in zip(batch.column(0), batch.column(1), strict=True)):
                 own: dict[str, int] = {}
                 before = ""
                 for t in tokens(text):
@@ -381,7 +381,7 @@ def fit(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", i
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value.lexicon()
         for batch in batches:
-            x = [features(t, lexicon).tolist() for t in batch.column(0).to_pylist()]
+            x = [features(t.as_py(), lexicon).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     seen = rows.mapInArrow(read, "x array<double>, y boolean").groupBy("x", "y").count().toPandas()  # at most max_rows

@@ -28,3 +28,18 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == sizes[2]
     assert near_dedup.classes(d.limit(0)).count() == 0
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, label int, t string, th long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, rows in (("none", []), ("some", [(1, "the same words here", "en", "s", 19, 9, 0.5, 3, "x", 4)] * 2 + [(None, None, None, None, None, None, None, None, None, None)])):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(folder))
+            assert docs.schema.names == schema.replace(",", "").split()[::2]
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in pieces} == ({1} if rows else set()) and len(pieces) == bool(rows)

@@ -81,6 +81,16 @@ def test_index_returns_every_code_within_the_radius():
             assert set(block.within(q, radius)) == set(np.flatnonzero(ann.hamming(codes, q) <= radius))
 
 
+def test_ties_go_to_the_smaller_id_and_columns_may_clash(spark):
+    rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0, float(i % 2)], 0) for i in range(1, 40) if i != 20]
+    d = vectors(spark, rows).selectExpr("*", "1 AS id", "2 AS v", "3 AS score", "4 AS rank", "5 AS query_id", "6 AS b", "7 AS asks")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(d, F.col("id") % 20 == 0, k=5).collect())
+    assert got == [(i + 1, v, 1.0) for i, v in enumerate([1, 2, 3, 4, 5])]
+    d = vectors(spark, rows).selectExpr("*", "1 AS id", "2 AS v", "3 AS h", "4 AS rep", "5 AS weight", "6 AS block", "7 AS cell", "8 AS kept", "9 AS component_id", "10 AS n_links")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(d).collect()}
+    assert found[0] == found[2] == (18, 0) and found[1] == (19, 1)
+
+
 def test_few_vectors_and_none(spark):
     rows, bad = vector_rows(3)
     got = ann.nearest(vectors(spark, rows + bad), F.col("id") % 20 == 0, k=5).collect()
@@ -89,6 +99,32 @@ def test_few_vectors_and_none(spark):
     assert ann.nearest(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
+def test_grids_meet_every_pair_once():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 6)) * 0.1
+    radius = 0.12
+    for cuts in ([], [2], [2, 2, 2], [4, 4], [8, 2, 2, 2, 2, 2]):
+        grid = vector_dedup.Grid([np.quantile(x[:, i], np.arange(1, k) / k) for i, k in enumerate(cuts)])
+        home, (rows, cells) = grid.homes(x), grid.reached(x, radius)
+        reach = {(int(r), int(c)) for r, c in zip(rows, cells, strict=True)}
+        assert all((i, int(c)) in reach for i, c in enumerate(home))
+        for i, j in zip(*np.nonzero(((x[:, None] - x[None]) ** 2).sum(axis=2) <= radius**2), strict=True):
+            late, early = (i, j) if home[i] > home[j] else (j, i)
+            assert (int(early), int(home[late])) in reach  # the earlier one visits the later home
+    assert len(vector_dedup.fit_grid(x, radius, 300, 1_000).borders) == 0
+    assert vector_dedup.fit_grid(rng.standard_normal((2_000, 6)), 0.12, 10_000_000, 1_000).borders
+
+
+def test_close_pairs_hold_all_within_the_share():
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((700, 5)) * 0.2, rng.standard_normal((900, 5)) * 0.2
+    found = {(int(i), int(j)) for s, t in vector_dedup.close_pairs(a, b, 0.1, False, 100, 128) for i, j in zip(s, t, strict=True)}
+    near = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    assert found >= {(int(i), int(j)) for i, j in zip(*np.nonzero(near <= 0.1), strict=True)} and all(near[i, j] <= 0.1001 for i, j in found)
+    own = [(int(i), int(j)) for s, t in vector_dedup.close_pairs(a, a, 0.1, True, 100, 128) for i, j in zip(s, t, strict=True)]
+    assert len(own) == len(set(own)) and all(i < j for i, j in own)
+
+
 @pytest.mark.parametrize("chunk", [8192, 20])
 def test_vector_near_dedup_equals_brute_force(spark, chunk):
     rows, bad = vector_rows()
@@ -226,6 +262,25 @@ def test_normalise_rewrites_each_record():
         warc.normalise(io.BytesIO(gzip.compress(records[1][:-300])), io.BytesIO(), io.BytesIO())
 
 
+def test_inflation_is_bounded_and_whole():
+    bomb = gzip.compress(b"x" * 30_000_000)
+    sizes = [len(p) for p in warc.inflated(io.BytesIO(bomb), 1 << 16)]
+    assert max(sizes) <= 1 << 16 and sum(sizes) == 30_000_000
+    for cut in (1, 8, 100):
+        with pytest.raises(ValueError):
+            list(warc.inflated(io.BytesIO(bomb[:-cut])))
+    assert b"".join(warc.inflated(io.BytesIO(gzip.compress(b"a") + gzip.compress(b"b")), 3)) == b"ab" and not list(warc.inflated(io.BytesIO(b"")))
+    with pytest.raises(ValueError):
+        list(warc.split_records(iter([b"no header " * 500_000])))
+
+
+def test_warc_ids_are_integers_and_columns_may_clash(spark):
+    with pytest.raises(TypeError):
+        warc.round_trip(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
+    d = spark.createDataFrame([(1, "u", "h" * 200, 5), (2, "u", "h" * 200, 6)], "page_id int, url string, html string, n int").selectExpr("*", "1 AS digest", "2 AS size", "3 AS first", "4 AS refers_to", "5 AS payload_bytes")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(d).collect()} == {(1, "response", None), (2, "revisit", 1)}
+
+
 def test_warc_round_trip(spark):
     big, small = "é" * 80, "tiny"
     rows = [(5, "u", big), (3, None, big), (9, "u\nv", big), (1, "u", small), (2, "u", small), (4, "u", None), (6, "u", "x" * 300_000), (None, "u", "n" * 200)]

@@ -138,6 +138,9 @@ def test_viterbi_equals_enumeration():
 
 
 def test_long_runs_stay_linear():
+    a = secrets.automaton()
+    for word in ("eyJ", "eyJaaaaaaaaaaa.", "eyJaaaaaaaaaaa.eyJaaaa.", "password", "password ", "password   ", "-----BEGIN PRIVATE KEY-----", "ghp_", "xoxb-1", "AIza", "AKIA"):
+        secrets.scan(word * (300_000 // len(word)), a)
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" * 100_000):
         pii.scan([text])
 
@@ -350,6 +353,18 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(d.limit(0), encoder).count() == 0
 
 
+def test_packing_of_long_and_repeated_texts_and_clashing_columns(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = [" " * 1_000_000, "a" * 1_000_000, "\n" * 300_000, "word " * 100_000, "<|endoftext|>" * 50, None, "twice", "twice", "x" + " " * 200_000 + "y"]
+    rows = [(min(i, 6), t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS length", "3 AS open_room", "4 AS sequence_id", "5 AS g")
+    found = packing.pack(d, lambda: packing.byte_bpe_encoder(path)).collect()
+    _, library = bpe()
+    want = sorted((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((r.doc_id, r.doc_tokens) for r in found if r.start == 0) == want
+    assert sum(r.length for r in found) == sum(n for _, n in want)
+
+
 def test_windows_keep_the_bound():
     w, closed = packing.Windows(10, 2), []
     for size in (6, 7, 8, 3, 2):
@@ -426,6 +441,27 @@ def test_piece_rows(spark):
     assert {r.doc_id: r.text for r in back} == {0: "Hello  you\n", 1: ""}
 
 
+def test_empty_tables_and_clashing_columns(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    d = docs(spark, ["some words here", None, "some words here"]).selectExpr("*", "1 AS ids", "2 AS n_ids", "3 AS parity", "4 AS score", "5 AS lang_pred", "6 AS i", "7 AS t", "8 AS y", "9 AS g", "10 AS w")
+    none = d.limit(0)
+    assert pieces.encode_texts(none, path).count() == 0 and len({r.ids_crc32 for r in pieces.encode_texts(d, path).collect()}) == 2
+    model = langid.fit(d)
+    assert [r.lang_pred for r in langid.identify(d, model).orderBy("doc_id").collect()] == ["en", "und", "en"] and langid.identify(none, model).count() == 0
+    assert langid.keep_identified(d, model).columns == d.columns
+    labelled = d.selectExpr("*", "CAST(doc_id % 2 AS INT) AS toxic")
+    m = toxicity.fit(labelled)
+    assert toxicity.score(none, m).count() == 0 and toxicity.score(d, m).count() == 3 and toxicity.keep_civil(none, m).columns == d.columns
+    assert pii.find_personal_data(d.selectExpr("*", "1 AS spans", "2 AS n_ip")).count() == 3
+
+
+def test_samples_do_not_fill_with_one_row(spark):
+    from lodestone.llm.common import hash_sample
+
+    d = spark.createDataFrame([(1, "same")] * 500 + [(i, f"t{i}") for i in range(500)], "i long, t string")
+    assert hash_sample(d, ["i", "t"], 10_000).count() == 501 and hash_sample(d, ["i", "t"], 100).count() < 100
+
+
 @pytest.fixture(scope="module")
 def trained(tmp_path_factory):
     """Models of the SentencePiece trainer: (kind, file)."""
