@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier, under_prefix
+from ..plans.scratch import stored
 
 DOCUMENT_VERSION = "1"
 
@@ -85,19 +86,26 @@ def cache_status(cache: DataFrame) -> DataFrame:
     return cache.groupBy("model", "dimensions").agg(F.count("*").alias("entries"), F.sum(size).alias("bytes"), F.min("last_used_at").alias("oldest"), F.max("last_used_at").alias("newest"))
 
 
-def prune(cache: DataFrame, most_bytes: int) -> DataFrame:
+def prune(cache: DataFrame, most_bytes: int, ranges: int = 256) -> DataFrame:
     """What stays when the least recently used entries go until the cache fits. The
-    running sum is taken over bytes per last use, then within the one use that the
-    limit falls in, so no task holds the cache."""
+    running sum is taken over bytes per last use, range by range of last uses, and then
+    within the one use that the limit falls in, so no task holds the cache."""
     size = F.size("vector") * 4
-    per = cache.groupBy("last_used_at").agg(F.sum(size).alias("b"))
-    total = per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("t"))
-    excess = per.join(F.broadcast(total)).withColumn("x", F.greatest(F.lit(0), F.col("t") - most_bytes))
-    run = Window.orderBy("last_used_at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = excess.withColumn("before", F.coalesce(F.sum("b").over(run), F.lit(0)))
-    rows = cache.join(placed.select("last_used_at", "x", "before", "b"), "last_used_at")
-    settled = rows.where((F.col("before") >= F.col("x")))
-    split = rows.where((F.col("before") < F.col("x")) & (F.col("before") + F.col("b") > F.col("x")))
+    per = stored(cache.groupBy("last_used_at").agg(F.sum(size).alias("b")), "uses")
+    row = per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("t"), F.percentile_approx("last_used_at", [i / ranges for i in range(1, ranges)]).alias("q")).first()
+    excess = max(0, row["t"] - most_bytes)
+    borders = F.array(*[F.lit(x) for x in sorted(set(row["q"] or []))])
+    per = per.withColumn("g", F.size(F.filter(borders, lambda x: x < F.col("last_used_at"))))
+    before, sums = 0, []
+    for r in per.groupBy("g").agg(F.sum("b").alias("b")).orderBy("g").collect():  # at most ``ranges`` rows
+        sums.append((r["g"], before))
+        before += r["b"]
+    starts = cache.sparkSession.createDataFrame(sums, "g int, start long")
+    run = Window.partitionBy("g").orderBy("last_used_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per.join(starts, "g").withColumn("before", F.col("start") + F.coalesce(F.sum("b").over(run), F.lit(0)))
+    rows = cache.join(placed.select("last_used_at", "before", "b"), "last_used_at")
+    settled = rows.where(F.col("before") >= excess)
+    split = rows.where((F.col("before") < excess) & (F.col("before") + F.col("b") > excess))
     inner = Window.partitionBy("last_used_at").orderBy("model", "document_version", "content_hash").rowsBetween(Window.unboundedPreceding, -1)
-    split = split.withColumn("i", F.coalesce(F.sum(size).over(inner), F.lit(0))).where(F.col("before") + F.col("i") >= F.col("x")).drop("i")
-    return settled.unionByName(split).drop("x", "before", "b")
+    split = split.withColumn("i", F.coalesce(F.sum(size).over(inner), F.lit(0))).where(F.col("before") + F.col("i") >= excess).drop("i")
+    return settled.unionByName(split).drop("before", "b")

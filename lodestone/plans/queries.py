@@ -602,3 +602,20 @@ def digest_query(g: Graph) -> DataFrame:
     same = one.join(two, ["repository", "owner_file"], "full_outer")
     checked = F.when(F.col("digest").eqNullSafe(F.col("d2")), 1).otherwise(F.raise_error(F.lit("digest depends on order")).cast("int"))
     return same.agg(F.sum(checked).cast("long").alias("files"))
+
+
+@registered("i2_really_changed", "SELECT DISTINCT repository, owner_file AS path FROM nodes WHERE starts_with(owner_file, 'catalog/')")
+def really_changed_query(g: Graph) -> DataFrame:
+    """Of all files, re-read after the change, those whose evidence differs."""
+    owners, nodes, facts = _replaced(g)
+    old = incremental.evidence_digest(g.local, g.facts)
+    new = incremental.evidence_digest(incremental.replace_owners(g.local, nodes, owners), incremental.replace_owners(g.facts, facts, owners))
+    return incremental.really_changed(old.select("repository", F.col("owner_file").alias("path")), old, new)
+
+
+@registered("a4_pending", "SELECT count(*) > 0 AS pending FROM nodes WHERE kind = 'table'")
+def pending_query(g: Graph) -> DataFrame:
+    """Whether a file of the ledger is gone once the tables' files are."""
+    files = g.local.select("repository", F.col("owner_file").alias("path"), F.lit("h").alias("hash")).distinct()
+    left = files.join(g.local.where("kind = 'table'").select("repository", F.col("owner_file").alias("path")).distinct(), ["repository", "path"], "left_anti")
+    return incremental.pending(files, left)
