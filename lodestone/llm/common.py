@@ -4,24 +4,14 @@ deterministic splits and column hygiene."""
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import remove_dir, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests,
-    local mode) a temporary folder becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["Recent", "crc_mod", "fresh_dir", "hash_sample", "shared_dir", "stored", "table"]
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
@@ -31,25 +21,6 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def remove_dir(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is scratch
-        pass
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage in a place every executor sees, so a lost executor costs no rework
-    beyond its own tasks."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """``crc32(<column> as text) mod <modulus>``; null for a null column."""
     c = F.col(column) if isinstance(column, str) else column

@@ -3,8 +3,9 @@
 Alternates the two star steps: every node points its larger neighbours at its
 smallest neighbour, then its smaller ones. Both steps keep the number of links at
 or below the start, and hub nodes cost one aggregated row each, so a component
-with a third of all nodes is not gathered in one task. Each round is written to
-the shared folder.
+with a third of all nodes is not gathered in one task. The smallest neighbours are
+written before they are joined, so that the join of a hub's links stands between two
+shuffles and adaptive execution can split it. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:  # until a round changes nothing; links only ever move to smaller nodes
         # Large star: over both directions, each neighbour above u goes to u's minimum.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
+        least = stored(_min_neighbour(both).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = stored(large.where("u <> v").distinct(), "large")
         # Small star: u and its smaller neighbours go to the smallest of them.
-        low = _min_neighbour(large)
+        low = stored(_min_neighbour(large), "least")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stored(small, "links")
