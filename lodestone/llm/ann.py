@@ -4,26 +4,29 @@
 the signs of the rotated sample and the orthogonal Procrustes solution) turn a
 vector into ``rotations * dimension`` bits.
 
-*Index.* A code is split into substrings of eight bits. Every block of the corpus
-keeps, per substring and value, the list of its codes. A query with Hamming radius R
-over m substrings probes each substring's values within R // m bits: by the
-pigeonhole principle every code within R lies in at least one probed list. The
-union's codes within R are kept and their float vectors reranked by inner product
-in double precision.
+*Index.* A code is split into substrings of sixteen bits, about the logarithm of a
+block. Every block of the corpus keeps, per substring and value, the list of its codes.
+A query with Hamming radius R over m substrings probes each substring's values within
+R // m bits: by the pigeonhole principle every code within R lies in at least one
+probed list. The union's codes within R are kept and their float vectors reranked by
+inner product in double precision. Where so many values are near that their lists are
+expected to hold a block over, the block's codes are compared directly: the same codes
+are within R.
 
 *Radius.* It is set so that ``recall`` of the exact neighbours of a bounded set of
 probe queries lie within it; those are found by one exact pass over all rows. A
 query that finds fewer than k codes within R reranks the whole block, so no query
 comes short.
 
-*Blocks.* Queries and corpus are dealt to (query block, corpus block) tasks; every
-query meets every corpus block, and only each block's k best move on. Neither side
-is broadcast or gathered. Every row is indexed; the sample only fits rotations.
+*Blocks.* A row is dealt once, to its block. The queries are written once to the shared
+folder, and a block's task reads them there batch by batch, so what is shuffled grows
+with the rows and the results (k a block and query), and neither side is broadcast or
+gathered. Every row is indexed; the sample only fits rotations.
 
 Results for odd input: vectors that are null, zero or hold null or non-finite
-components neither ask nor answer; ties go to the smaller id; fewer candidates than
-k are all returned; an id that repeats stands with its smallest vector; an empty table
-gives no rows.
+components neither ask nor answer; if lengths differ, the commonest takes part; ties go
+to the smaller id; fewer candidates than k are all returned; an id that repeats stands
+with its smallest vector; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, stored
+from .common import fresh_dir, hash_sample, read_batches, stored
 from .vectors import matrix, sample_matrix, usable
 
-SUB = 8  # bits of a substring
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: near[r, q, c]: value c is within r bits of value q.
-DISTANCE = POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+SUB = 16  # bits of a substring
+#: Every mask of a substring, by the number of its bits, and how many have at most r.
+MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)), kind="stable").astype(np.uint16)
+WITHIN = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)), minlength=SUB + 1))
 
 
 def learn_rotations(sample: np.ndarray, count: int, rounds: int = 25, seed: int = 7) -> np.ndarray:
@@ -61,12 +64,13 @@ def learn_rotations(sample: np.ndarray, count: int, rounds: int = 25, seed: int
 
 
 def encode(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Codes as bytes, one row a vector; padded with zero bits to whole bytes."""
-    return np.packbits(x @ rotations.T > 0, axis=1)
+    """Codes as bytes, one row a vector; padded with zero bits to whole words."""
+    codes = np.packbits(x @ rotations.T > 0, axis=1)
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))))
 
 
 def hamming(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return POPCOUNT[codes ^ one[None, :]].sum(axis=1, dtype=np.int32)
+    return np.bitwise_count(codes ^ one[None, :]).sum(axis=1, dtype=np.int32)
 
 
 class Block:
@@ -74,30 +78,38 @@ class Block:
     values and where each value's list begins."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        width = -codes.shape[1] % 8
-        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, width)))).view(np.uint64)
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
-        self.begin = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
+        self.words, self.subs = codes.view(np.uint64), codes.view(np.uint16)
+        self.order: list[np.ndarray] = []
+        self.begin: list[np.ndarray] = []
+
+    def _index(self) -> None:
+        for j in range(self.subs.shape[1]):
+            self.order.append(np.argsort(self.subs[:, j], kind="stable"))
+            self.begin.append(np.r_[0, np.cumsum(np.bincount(self.subs[:, j], minlength=1 << SUB))])
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray | None:
+        """Row numbers in a probed list; None where the lists would hold a block over."""
+        own = code.view(np.uint16)
+        per = radius // len(own)
+        near = int(WITHIN[min(per, SUB)])
+        if near * len(own) >= 1 << SUB:
+            return None
+        if not self.order:
+            self._index()
+        hit = np.zeros(len(self.subs), bool)
+        for value, order, begin in zip(own, self.order, self.begin, strict=True):
+            values = (value ^ MASKS[:near]).astype(np.int64)
+            first, last = begin[values], begin[values + 1]
+            for a, b in zip(first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                hit[order[a:b]] = True
+        return np.flatnonzero(hit)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Row numbers of every code within ``radius`` of ``code``."""
-        per = radius // self.codes.shape[1]
-        hit = np.zeros(len(self.codes), bool)
-        for j, (order, begin) in enumerate(zip(self.order, self.begin, strict=True)):
-            near = DISTANCE[code[j]] <= per
-            values = np.flatnonzero(near)
-            if (begin[values + 1] - begin[values]).sum() * 8 < len(hit):
-                for value in values:
-                    hit[order[begin[value] : begin[value + 1]]] = True
-            else:  # the probed lists hold much of the block: the same union by a scan
-                hit |= near[self.codes[:, j]]
-            if hit.all():
-                break
-        at = np.flatnonzero(hit)
-        word = np.pad(code, (0, -len(code) % 8)).view(np.uint64)
-        far = np.bitwise_count(self.words[at] ^ word[None, :]).sum(axis=1)
-        return at[far <= radius]
+        at = self.probed(code, radius)
+        words, own = (self.words if at is None else self.words[at]), code.view(np.uint64)
+        near = np.bitwise_count(words ^ own[None, :]).sum(axis=1, dtype=np.int32) <= radius
+        return np.flatnonzero(near) if at is None else at[near]
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -153,44 +165,63 @@ def fit_radius(rows: DataFrame, rotations: np.ndarray, k: int, probes: int = 64,
     return int(np.quantile(np.concatenate(far), recall, method="higher")) if far else 0
 
 
-def nearest(vectors: DataFrame, asks: Column, k: int = 20, rotations: int = 4, sample: int = 10_000, block: int = 16_384, query_block: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, asks: Column, k: int = 20, rotations: int = 4, sample: int = 10_000, block: int = 32_768, query_block: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query.
     ``asks`` is a predicate on the column ``id``; a query's own id is no candidate.
     ``sample`` bounds the rows that the rotations are fitted on."""
+    spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    asked = rows.where(asks)
-    n, n_asked = rows.count(), asked.count()
+    n = rows.count()
     drawn = sample_matrix(rows, sample)
     turned = learn_rotations(drawn, rotations) if len(drawn) else np.zeros((0, 0))
     radius = fit_radius(rows, turned, k)
-    nb, nq = max(1, -(-n // block)), max(1, -(-n_asked // query_block))
-    index = rows.select("id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"))
-    probe = asked.select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("q"))
+    folder = fresh_dir(spark, "queries")
+    rows.where(asks).select("id", "v").write.parquet(folder)
+    nb = max(1, -(-n // block))
     id_type = rows.schema["id"].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast((turned, radius))  # d * d * rotations numbers
+    shared = spark.sparkContext.broadcast((turned, radius))  # d * d * rotations numbers
 
-    def run(table: pa.Table) -> pa.Table:
+    def answers(own: np.ndarray, x: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         turn, reach = shared.value
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, v = table["id"].to_numpy(), matrix(table["v"])
-        own, x = ids[~asks], v[~asks]
-        out: list[tuple] = []
-        if len(own):
-            index_ = Block(encode(x, turn))
-            codes = encode(v[asks], turn) if asks.any() else []
-            for query, q, code in zip(ids[asks], v[asks], codes, strict=True):
-                at = index_.within(code, reach)
+        index = Block(encode(x, turn))
+        for some in read_batches(folder, query_block):
+            out: list[tuple] = []
+            v = matrix(some.column(1))
+            for query, q, code in zip(some.column(0).to_pylist(), v, encode(v, turn), strict=True):
+                at = index.within(code, reach)
                 at = at[own[at] != query]
                 if len(at) < k:
                     at = np.flatnonzero(own != query)
                 scores = inner(x[at], q)
-                for j in best(own[at], scores, k):
-                    out.append((query, own[at[j]], scores[j]))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        kind = table.schema.field("id").type
-        return pa.table({"query_id": pa.array(columns[0], kind), "vec_id": pa.array(columns[1], kind), "score": pa.array(columns[2], pa.float64())})
+                out += [(query, own[at[j]], scores[j]) for j in best(own[at], scores, k)]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = index.unionByName(probe).groupBy("b", "q").applyInArrow(run, f"query_id {id_type}, vec_id {id_type}, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # one block
+        at, kind = None, pa.int64()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            return answers(table["id"].to_numpy(), matrix(table["v"]), kind)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            b = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if held and b[lo] != at:
+                    yield from done()
+                    held = []
+                at = b[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("b")).repartition(nb, "b").sortWithinPartitions("b")
+    found = dealt.mapInArrow(run, f"query_id {id_type}, vec_id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id"), "score")

@@ -5,13 +5,17 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import remove_dir, shared_dir, stored
 
-__all__ = ["Recent", "crc_mod", "fresh_dir", "hash_sample", "shared_dir", "stored", "table"]
+__all__ = ["Recent", "crc_mod", "filesystem", "fresh_dir", "hash_sample", "read_batches", "shared_dir", "stored", "table"]
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
@@ -21,6 +25,19 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def read_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a Parquet folder, at most ``rows`` at a time, read by a task."""
+    fs, root = filesystem(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=rows)
+
+
 def crc_mod(column: str | Column, modulus: int) -> Column:
     """``crc32(<column> as text) mod <modulus>``; null for a null column."""
     c = F.col(column) if isinstance(column, str) else column

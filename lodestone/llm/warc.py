@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import fresh_dir, stored
+from .common import filesystem, fresh_dir, stored
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -139,10 +138,6 @@ def read_indexed(archive, index: BinaryIO) -> Iterator[tuple[dict[str, str], byt
         yield fields, block
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """id, url, html, payload digest and size, and for revisits refers_to."""
     if not isinstance(pages.select(id_col).schema[0].dataType, IntegralType):
@@ -168,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = plan_records(pages, id_col, url_col, html_col, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
         n = 0
@@ -209,9 +204,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, path = _filesystem(archive)
+                fs, path = filesystem(archive)
                 rows = []
-                with fs.open_input_file(path) as data, fs.open_input_stream(_filesystem(index)[1], compression=None) as lines:
+                with fs.open_input_file(path) as data, fs.open_input_stream(filesystem(index)[1], compression=None) as lines:
                     for fields, block in read_indexed(data, lines):
                         http, begin = headers_of(block)
                         digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])

@@ -74,11 +74,18 @@ def test_nearest_neighbours_recall_and_shape(spark):
 
 def test_index_returns_every_code_within_the_radius():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
+    codes = rng.integers(0, 256, (3_000, 8), dtype=np.uint8)
+    codes[1:300] = codes[0] ^ (1 << rng.integers(0, 8, (299, 8))).astype(np.uint8) * (rng.random((299, 8)) < 0.4)
     block = ann.Block(codes)
-    for radius in (0, 3, 8, 13, 32):
+    fewer = 0
+    for radius in (0, 3, 4, 7, 8, 11, 13, 32, 64):
         for q in codes[:20]:
-            assert set(block.within(q, radius)) == set(np.flatnonzero(ann.hamming(codes, q) <= radius))
+            near = np.flatnonzero(ann.hamming(codes, q) <= radius)
+            assert set(block.within(q, radius)) == set(near)
+            if (at := block.probed(q, radius)) is not None:
+                assert set(near) <= set(at)
+                fewer += len(at) < 600
+    assert fewer > 60
 
 
 def test_ties_go_to_the_smaller_id_and_columns_may_clash(spark):
