@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..functions import http, ids, text
 from ..operators import catalog, federation, incremental, match, reports, search, semantic, topology, traverse
-from ..operators.resolve import prop
+from ..operators.resolve import prop, resolve
+from ..sources.extract import extract
 from ..vocab import CANDIDATE_KINDS, FAILURE_SECTIONS, IMPACT_RELATIONS, PEER_TARGET_KINDS
 from .fixture import DUCK, Graph, Sql, _grouped, graph
+from .scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -619,3 +621,84 @@ def pending_query(g: Graph) -> DataFrame:
     files = g.local.select("repository", F.col("owner_file").alias("path"), F.lit("h").alias("hash")).distinct()
     left = files.join(g.local.where("kind = 'table'").select("repository", F.col("owner_file").alias("path")).distinct(), ["repository", "path"], "left_anti")
     return incremental.pending(files, left)
+
+
+# ---- frontends ----------------------------------------------------------------------
+
+#: Small sources over the nations, one line an item: path, text.
+_SOURCES = (
+    ("conf/{k}.env", "KEY_{k}=1|export LAST_{k}=${{KEY_{k}}}|"),
+    ("db/{k}.sql", "CREATE TABLE t_{k} (id INT PRIMARY KEY, name TEXT);|CREATE VIEW v_{k} AS SELECT t_{k}.id FROM t_{k};|"),
+    ("docs/{k}.md", "# Nation {k}||See [next]({n}.md#nation-{n}).||## Part|"),
+    ("src/mod{k}.py", "from src.mod{n} import f{n}|||def f{k}(x):|    return g{k}(x)|||def g{k}(y):|    return f{n}(y)|"),
+    ("p/{k}.proto", 'syntax = "proto3";|package p{k};|message M {{ int32 a = 1; N b = 2; }}|message N {{ string c = 1; }}|'),
+    ("go/{k}.go", "package m|type Box struct {{|\tW int|}}|func H{k}(a int) {{|\tG{k}(a)|}}|func G{k}(b int) {{|}}|"),
+    ("web/{k}.ts", "export class C{k} {{|  run(x) {{|    help{k}(x)|  }}|}}|export function help{k}(y) {{|  return y|}}|"),
+)
+#: What the sources declare: kind, qualified name, line; then edges between names.
+_DECLARED = (
+    ("config_key", "config:conf/{k}.env:KEY_{k}", 1), ("config_key", "config:conf/{k}.env:LAST_{k}", 2),
+    ("table", "t_{k}", 1), ("column", "t_{k}.id", 1), ("column", "t_{k}.name", 1), ("view", "v_{k}", 2),
+    ("document_section", "docs/{k}.md#nation-{k}", 1), ("document_section", "docs/{k}.md#part", 5),
+    ("module", "src.mod{k}", 1), ("function", "src.mod{k}.f{k}", 4), ("parameter", "src.mod{k}.f{k}.x", 4), ("function", "src.mod{k}.g{k}", 8), ("parameter", "src.mod{k}.g{k}.y", 8),
+    ("type", "p{k}.M", 3), ("field", "p{k}.M.a", 3), ("field", "p{k}.M.b", 3), ("type", "p{k}.N", 4), ("field", "p{k}.N.c", 4),
+    ("module", "go/{k}", 1), ("type", "go/{k}.Box", 2), ("field", "go/{k}.Box.W", 3), ("function", "go/{k}.H{k}", 5), ("parameter", "go/{k}.H{k}.a", 5), ("function", "go/{k}.G{k}", 8), ("parameter", "go/{k}.G{k}.b", 8),
+    ("module", "web/{k}", 1), ("class", "web/{k}.C{k}", 1), ("method", "web/{k}.C{k}.run", 2), ("parameter", "web/{k}.C{k}.run.x", 2), ("function", "web/{k}.help{k}", 6), ("parameter", "web/{k}.help{k}.y", 6),
+)
+_RELATED = (
+    ("references", "config:conf/{k}.env:LAST_{k}", "config:conf/{k}.env:KEY_{k}"), ("reads", "v_{k}", "t_{k}"), ("reads", "v_{k}", "t_{k}.id"), ("has_field", "t_{k}", "t_{k}.id"), ("has_field", "t_{k}", "t_{k}.name"),
+    ("documents", "docs/{k}.md#nation-{k}", "docs/{n}.md#nation-{n}"), ("contains", "docs/{k}.md#nation-{k}", "docs/{k}.md#part"),
+    ("calls", "src.mod{k}.f{k}", "src.mod{k}.g{k}"), ("calls", "src.mod{k}.g{k}", "src.mod{n}.f{n}"), ("passes", "src.mod{k}.f{k}.x", "src.mod{k}.g{k}"), ("passes", "src.mod{k}.g{k}.y", "src.mod{n}.f{n}"),
+    ("returns", "src.mod{k}.f{k}.x", "src.mod{k}.f{k}"), ("returns", "src.mod{k}.g{k}.y", "src.mod{k}.g{k}"),
+    ("has_field", "p{k}.M", "p{k}.M.a"), ("has_field", "p{k}.M", "p{k}.M.b"), ("has_field", "p{k}.N", "p{k}.N.c"),
+    ("has_field", "go/{k}.Box", "go/{k}.Box.W"), ("calls", "go/{k}.H{k}", "go/{k}.G{k}"), ("passes", "go/{k}.H{k}.a", "go/{k}.G{k}"),
+    ("calls", "web/{k}.C{k}.run", "web/{k}.help{k}"), ("passes", "web/{k}.C{k}.run.x", "web/{k}.help{k}"), ("returns", "web/{k}.help{k}.y", "web/{k}.help{k}"),
+)
+
+
+def _filled(template: str) -> str:
+    """SQL text of a template over a nation's key ``k`` and its successor ``n``."""
+    text = template.replace("'", "''").replace("{k}", "' || k || '").replace("{n}", "' || n || '")
+    return "'" + text.replace("{{", "{").replace("}}", "}") + "'"
+
+
+_NATIONS = "(SELECT CAST(n_nationkey AS STRING) AS k, CAST((n_nationkey + 1) % 25 AS STRING) AS n FROM nation) AS nations"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repository, path, content) of the small sources."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    parts = [spark.sql(f"SELECT 'shop' AS repository, {_filled(p)} AS path, replace({_filled(t)}, '|', chr(10)) AS content FROM {_NATIONS}") for p, t in _SOURCES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@registered("sc_declarations", " UNION ALL ".join(f"SELECT '{kind}' AS kind, {_filled(name)} AS qualified_name, CAST({line} AS BIGINT) AS line FROM {_NATIONS}" for kind, name, line in _DECLARED), raw=True)
+def declarations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _ = extract(sources(spark, sf_dir))
+    return nodes.where("kind <> 'file'").select("kind", "qualified_name", F.col("line").cast("long").alias("line"))
+
+
+@registered("sc_relations", " UNION ALL ".join(f"SELECT '{kind}' AS kind, {_filled(a)} AS source, {_filled(b)} AS target FROM {_NATIONS}" for kind, a, b in _RELATED), raw=True)
+def relations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved edges between the declarations."""
+    nodes, facts, _ = extract(sources(spark, sf_dir))
+    nodes, facts = stored(nodes, "nodes"), stored(facts, "facts")
+    edges, _ = resolve(nodes, facts, http=False)
+    names = nodes.where("kind <> 'file'").select("id", "qualified_name")
+    ends = edges.join(names.withColumnsRenamed({"id": "from_id", "qualified_name": "source"}), "from_id").join(names.withColumnsRenamed({"id": "to_id", "qualified_name": "target"}), "to_id")
+    kinds = sorted({k for k, *_ in _RELATED})
+    return ends.where(F.col("kind").isin(*kinds)).select("kind", "source", "target")
+
+
+@registered(
+    "f21_routes",
+    """SELECT url, authority, CASE WHEN path = '' THEN '/' ELSE path END AS path, query, fragment, slash FROM (SELECT url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS authority, rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') AS path,
+regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment, regexp_matches(url, '^https?://[^/?#]*/[^?#]+/([?#]|$)') AS slash FROM pages)""",
+    raw=True,
+)
+def routes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("r", http.route_info("url"))
+    return pages.select("url", *[F.col(f"r.{c}").alias(c) for c in ("authority", "path", "query", "fragment", "slash")])

@@ -24,6 +24,7 @@ class Language:
     inherit: tuple[tuple[str, str], ...] = ()  # edge kind, pattern with n and b
     config: str = ""  # pattern with the group k
     indent_blocks: bool = False
+    member: str = ""  # a field's pattern with n, inside a class or type
     keywords: frozenset[str] = field(default=frozenset("if for while switch return catch func function new super this self print match elif assert not await yield typeof sizeof defer go select".split()))
 
 
@@ -32,6 +33,7 @@ LANGUAGES = (
         "go", (".go",), "//",
         (("test", r"^func (?P<n>Test\w+)\("), ("method", r"^func \((?:\w+ )?\*?(?P<o>\w+)(?:\[[^\]]*\])?\) (?P<n>\w+)"), ("function", r"^func (?P<n>\w+)"), ("interface", r"^type (?P<n>\w+) interface\b"), ("type", r"^type (?P<n>\w+)")),
         r"^(?:import\s+|\t)(?:(?P<a>[\w.]+) )?\"(?P<m>[\w./@-]+)\"$", config=r"os\.(?:Getenv|LookupEnv)\(\"(?P<k>[^\"]+)\"\)",
+        member=r"^\t(?P<n>[A-Za-z_]\w*(?:, [A-Za-z_]\w*)*)\s+(?P<t>[\w\[\]*.]+(?:\{\})?)\s*(?:`.*)?$|^\t\*?(?:\w+\.)?(?P<e>[A-Z]\w*)\s*(?:`.*)?$",
     ),
     Language(
         "typescript", (".ts", ".tsx"), "//",
@@ -39,17 +41,20 @@ LANGUAGES = (
          ("function", r"^\s*(?:export )?(?:default )?(?:async )?function\*? (?P<n>\w+)"), ("function", r"^\s*(?:export )?const (?P<n>\w+)[^=]*=\s*(?:async )?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
          ("method", r"^\s+(?:public |private |protected |static |async |readonly )*(?P<n>(?!if\b|for\b|while\b|switch\b|return\b|catch\b|constructor\b)\w+)\([^;]*\)\s*(?::[^={]+)?\{")),
         r"^\s*(?:import|export)\b[^'\"]*from ['\"](?P<m>[^'\"]+)['\"]", (("extends", r"class (?P<n>\w+)[^{]*? extends (?P<b>[\w.]+)"), ("implements", r"class (?P<n>\w+)[^{]*? implements (?P<b>[\w.]+)")), r"process\.env\.(?P<k>\w+)",
+        member=r"^\s+(?:public |private |protected |readonly |static )*(?P<n>\w+)[?!]?\s*:\s*(?P<t>[^=(;]+?)\s*(?:=.*)?[;,]?$",
     ),
     Language(
         "java", (".java",), "//",
         (("interface", r"^\s*(?:public |private |protected |static |abstract )*interface (?P<n>\w+)"), ("class", r"^\s*(?:public |private |protected |static |final |abstract )*(?:class|enum|record) (?P<n>\w+)"),
          ("method", r"^\s+(?:public |private |protected |static |final |synchronized |abstract )*(?:<[^>]+> )?[\w<>\[\], .?]+ (?P<n>(?!if\b|for\b|while\b|switch\b|return\b|catch\b|new\b)\w+)\([^;{=]*\)\s*(?:throws [\w, .]+)?\{")),
         r"^import (?:static )?(?P<m>[\w.]+)", (("extends", r"class (?P<n>\w+)[^{]*? extends (?P<b>[\w.]+)"), ("implements", r"class (?P<n>\w+)[^{]*? implements (?P<b>[\w.]+)")), r"System\.getenv\(\"(?P<k>[^\"]+)\"\)",
+        member=r"^\s+(?:(?:public|private|protected|static|final|volatile|transient) )*(?!return\b|throw\b|package\b|import\b)(?P<t>[\w<>\[\], .?]+) (?P<n>\w+)\s*(?:=.*)?;\s*$",
     ),
     Language(
         "swift", (".swift",), "//",
         (("class", r"^\s*(?:public |open |final |private |internal )*(?:class|struct|enum|actor) (?P<n>\w+)"), ("interface", r"^\s*(?:public )?protocol (?P<n>\w+)"), ("function", r"^\s*(?:@\w+ )*(?:public |private |internal |static |override |open |mutating )*func (?P<n>\w+)")),
         r"^import (?P<m>\w+)", (("extends", r"(?:class|struct|protocol) (?P<n>\w+)\s*:\s*(?P<b>\w+)"),), r"environment\[\"(?P<k>[^\"]+)\"\]",
+        member=r"^\s+(?:@\w+ )*(?:(?:public|private|internal|static|weak) )*(?:var|let) (?P<n>\w+)\s*(?::\s*(?P<t>[\w\[\]:?<>., ]+?))?\s*(?:=.*|\{.*)?$",
     ),
     Language(
         "gdscript", (".gd",), "#",
@@ -71,6 +76,40 @@ def without_comments(text: str, mark: str) -> str:
     return pattern.sub(lambda m: m[1] if m[1] else re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def _pieces(text: str) -> list[str]:
+    """Split at commas outside brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "([{<") - (c in ")]}>")
+        if c == "," and depth <= 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [p.strip() for p in [*out, text[start:]] if p.strip()]
+
+
+def _bracketed(lines: list[str], row: int, column: int) -> str:
+    """What stands in the round brackets that open at or after the place."""
+    text = "\n".join([lines[row][column:], *lines[row + 1 : row + 8]])
+    first, depth = text.find("("), 0
+    if first < 0 or text[:first].strip(" \t\n<>[]abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_,:=."):
+        return ""
+    for i in range(first, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if not depth:
+            return text[first + 1 : i]
+    return ""
+
+
+def parameter_names(language: str, text: str) -> list[str]:
+    pieces = _pieces(text)
+    if language == "go":  # one named parameter names them all
+        named = any(re.match(r"\w+\s+\S", p) for p in pieces)
+        return [m[0] for p in pieces if (m := re.match(r"\w+", p)) and m[0] != "_"] if named else []
+    pattern = {"java": r"(\w+)(?:\[\])*$", "swift": r"(\w+)\s*:", "shader": r"(\w+)$"}.get(language, r"(?:(?:public|private|protected|readonly) )*(?:\.\.\.)?(\w+)")
+    find = re.match if language in ("typescript", "gdscript") else re.search
+    return [m[1] for p in pieces if (m := find(pattern, p)) and m[1] != "_"]
+
+
 def _end_line(lines: list[str], start: int, by_indent: bool) -> int:
     """The last line of the block that opens at ``start`` (from 0)."""
     if by_indent:
@@ -102,6 +141,7 @@ def parse(language: Language, repository: str, path: str, text: str) -> Result:
     imports: dict[str, str] = {}
     scopes: list[tuple[int, int, str, str, str]] = []  # first, last, id, qualified name, kind
     declared: dict[str, str] = {}
+    parameters: dict[str, dict[str, str]] = {}  # function id -> name -> id
     for n, line in enumerate(lines, 1):
         for m in re.finditer(language.imports, line):
             target = m["m"]
@@ -124,9 +164,20 @@ def parse(language: Language, repository: str, path: str, text: str) -> Result:
                 b.fact("has_field", parent_id, target_id=key, line=n)
             else:
                 key = b.declare(parent_id, kind, m["n"], qualified, n, last)
+            if kind in ("function", "method", "test"):
+                names = parameter_names(language.name, _bracketed(lines, n - 1, m.end("n")))
+                parameters[key] = {p: b.declare(key, "parameter", p, f"{qualified}.{p}", n) for p in names}
             declared[m["n"]] = key
             scopes.append((n, last, key, qualified, kind))
             break
+        else:
+            holder = next((s for s in reversed(scopes) if s[0] < n <= s[1]), None)
+            if language.member and holder and holder[4] in ("class", "interface", "type") and (m := re.search(language.member, line)):
+                for name in (m["n"] or "").split(", ") if m["n"] else ():
+                    field_id = b.node("field", name, f"{holder[3]}.{name}", n, type=(m["t"] or "").strip())
+                    b.fact("has_field", holder[2], target_id=field_id, line=n)
+                if m.groupdict().get("e"):
+                    b.fact("embeds", holder[2], m["e"], "", n)
         for edge, pattern in language.inherit:
             if m := re.search(pattern, line):
                 source = declared.get(m["n"]) or (scopes[0][2] if scopes and scopes[0][4] == "class" else b.file)
@@ -166,6 +217,13 @@ def parse(language: Language, repository: str, path: str, text: str) -> Result:
                 head, _, rest = name.partition(".")
                 target = f"{imports[head]}.{rest}" if rest and head in imports else f"{module}.{name}" if name in declared and not rest else name
                 b.fact("calls", source, target, line=n)
+                for i, given in enumerate(_pieces(_bracketed(lines, n - 1, m.end() - 1))):
+                    if given in parameters.get(source, {}):
+                        b.fact("passes", parameters[source][given], target, line=n, argument=str(i))
+            if m := re.match(r"\s*return\b(.*)", line):
+                for name, key in parameters.get(source, {}).items():
+                    if re.search(rf"\b{re.escape(name)}\b", m[1]):
+                        b.fact("returns", key, target_id=source, line=n)
     return b.result()
 
 

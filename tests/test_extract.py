@@ -1,3 +1,4 @@
+import pytest
 from lodestone.sources.extract import parse_file
 
 
@@ -98,3 +99,27 @@ def test_nothing_breaks():
     for path in ("x.py", "x.go", "x.ts", "x.java", "x.swift", "x.gd", "x.tscn", "x.proto", "x.sql", "x.md", "x.json", "x.yaml", ".env", "go.mod", "x.bin"):
         for text in ("", "\0", "{", "}" * 50, "'\"`(" * 20, "a" * 10_000):
             parse_file("r", path, text)
+
+
+FLOWS = {
+    "a/box.go": "package a\n\ntype Base struct {\n\tID int\n}\n\ntype Box struct {\n\tBase\n\tW, H int\n}\n\nfunc (b *Box) Grow(by int, c ctx.C) int {\n\treturn Scale(by, 4)\n}\n\nfunc Scale(x, y int) int {\n\treturn x\n}\n",
+    "a/box.ts": "export class Box {\n  private size: number = 3;\n  grow(by: string, y = 2) {\n    scale(by)\n  }\n}\n\nexport function scale(x: string) {\n  return x\n}\n",
+    "a/Box.java": "public class Box {\n    private final int size = 3;\n    public int grow(int by, List<String> names) {\n        int local = 4;\n        return scale(by);\n    }\n}\n",
+    "a/box.swift": "struct Box {\n    var size: Int = 3\n    func grow(by amount: Int) -> Int {\n        return scale(amount)\n    }\n}\n",
+}
+
+
+@pytest.mark.parametrize(("path", "fields", "parameters", "flows"), [
+    ("a/box.go", {"Base.ID", "Box.W", "Box.H"}, {"Box.Grow.by", "Box.Grow.c", "Scale.x", "Scale.y"}, {("passes", "Box.Grow.by"), ("returns", "Box.Grow.by"), ("returns", "Scale.x"), ("embeds", "Box")}),
+    ("a/box.ts", {"Box.size"}, {"Box.grow.by", "Box.grow.y", "scale.x"}, {("passes", "Box.grow.by"), ("returns", "scale.x")}),
+    ("a/Box.java", {"Box.size"}, {"Box.grow.by", "Box.grow.names"}, {("passes", "Box.grow.by"), ("returns", "Box.grow.by")}),
+    ("a/box.swift", {"Box.size"}, {"Box.grow.amount"}, {("passes", "Box.grow.amount"), ("returns", "Box.grow.amount")}),
+])
+def test_members_and_data_flow(path, fields, parameters, flows):
+    found = parse_file("r", path, FLOWS[path])
+    module = path.rsplit(".", 1)[0] + "."
+    names = {n["id"]: n["qualified_name"].removeprefix(module) for n in found.nodes}
+    of = lambda kind: {names[n["id"]] for n in found.nodes if n["kind"] == kind}
+    assert of("field") == fields and of("parameter") == parameters
+    assert {(f["kind"], names[f["from_id"]]) for f in found.facts if f["kind"] in ("passes", "returns", "embeds")} == flows
+    assert len([f for f in found.facts if f["kind"] == "has_field"]) == len(fields)
