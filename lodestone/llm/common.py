@@ -4,8 +4,9 @@ deterministic splits and column hygiene."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import remove_dir, shared_dir, stored
 
-__all__ = ["Recent", "crc_mod", "filesystem", "fresh_dir", "hash_sample", "read_batches", "shared_dir", "stored", "table"]
+__all__ = ["Recent", "crc_mod", "filesystem", "fresh_dir", "frugal", "hash_sample", "read_batches", "shared_dir", "stored", "table"]
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
@@ -48,6 +49,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A batch function that gives its worker's free memory back when a task ends:
+    workers live as long as their executor, and their share of it is small."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 class Recent:
     """A memo, ``now``, of two generations: at ``most`` entries ``turn`` lets the older
     one go, so what is used often stays and what is held is bounded."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import frugal, hash_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 [pa.array(g, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["g", "w", "n"]
             )
 
-    counted = rows.mapInArrow(count, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(frugal(count), "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for g, w, n in counted.toPandas().itertuples(index=False):  # the words of the sampled rows
         counts[g][w] = int(n)
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names=[id_col, "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {id_type}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             keep = [scorer.score(t)[0] != UNKNOWN for lo in range(0, batch.num_rows, 256) for t in batch.column(at).slice(lo, 256).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import frugal, stored
 from .components import components
 
 KMER, LEAST = 5, 0.8
@@ -158,7 +158,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["id", "th", "size", "key", "bands", "entries"],
             )
 
-    return rows.mapInArrow(run, f"id {id_type}, th long, size long, key binary, bands array<long>, entries binary")
+    return rows.mapInArrow(frugal(run), f"id {id_type}, th long, size long, key binary, bands array<long>, entries binary")
 
 
 def one_text_per_id(sketch: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
                 keep.append(similarity(last[1], Prepared(word_codes(tb.as_py(), hashes))) >= LEAST)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return both.mapInArrow(frugal(run), f"a {id_type}, b {id_type}")
 
 
 def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -469,7 +469,7 @@ def _sketch_agrees(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 keep = _agree(_unpacked(batch.column("ea")), _unpacked(batch.column("eb")))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ea", "eb").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return both.select("a", "b", "ea", "eb").mapInArrow(frugal(run), f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

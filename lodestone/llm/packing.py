@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, stored
+from .common import Recent, frugal, stored
 
 Encoder = Callable[[list[str]], list[array]]
 
@@ -214,7 +214,7 @@ def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most
             done.extend((*p[:7], room[window], *p[8:]) for p in pieces)
         yield batch_of(done)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _merge(groups: DataFrame, capacity: int, most: int) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent
+from .common import Recent, frugal
 
 MARK = "\u2581"
 # Fixed values of the format: piece types and model types.
@@ -241,7 +241,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = False, id_col: str
                 names=[id_col, "n_ids", "ids_crc32", "parity", "round_trip", *["ids"] * with_ids],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -255,4 +255,4 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
             texts = [None if ids is None else codec.decode(array("I", ids).tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, text string")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {id_type}, text string")

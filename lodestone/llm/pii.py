@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 # Kinds in reporting order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "phone_local", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
@@ -449,4 +451,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names=[id_col, *names],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, {RESULT}")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {id_type}, {RESULT}")

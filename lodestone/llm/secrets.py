@@ -21,6 +21,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 # The kinds in reporting order. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "slack", "stripe", "google", "pem")
 BASE_KINDS = KINDS[:3]
@@ -167,7 +169,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=[id_col, *cols],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, {RESULT}")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {id_type}, {RESULT}")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -192,4 +194,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
                     )
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import frugal, hash_sample
 
 TOKEN = re.compile(r"[^\W_]+|[.!?;\n]+|[\x02\x03]")
 MARKS = re.compile("[\"«»“”„\n]")
@@ -341,7 +341,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
             )
 
     sums = [F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), F.bit_or("around").alias("around")]
-    words = rows.mapInArrow(count, "w string, n_toxic long, n_clean long, around long").groupBy("w").agg(*sums)
+    words = rows.mapInArrow(frugal(count), "w string, n_toxic long, n_clean long, around long").groupBy("w").agg(*sums)
     whole = words.select("w", F.lit(0).alias("stem"), "n_toxic", "n_clean", "around")
     cut = words.select(
         F.explode(F.array(*[F.struct(F.substring("w", 1, n).alias("w"), F.lit(n).alias("stem")) for n in STEMS])).alias("p"),
@@ -384,7 +384,7 @@ def fit(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", i
             x = [features(t.as_py(), lexicon).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    seen = rows.mapInArrow(read, "x array<double>, y boolean").groupBy("x", "y").count().toPandas()  # at most max_rows
+    seen = rows.mapInArrow(frugal(read), "x array<double>, y boolean").groupBy("x", "y").count().toPandas()  # at most max_rows
     x = np.array(seen["x"].tolist(), float).reshape(-1, width)
     y, n = seen["y"].to_numpy(float), seen["count"].to_numpy(float)
     model.weights, model.bias = logistic(x, y, n)
@@ -423,7 +423,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names=[id_col, "score"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, score double")
+    return rows.mapInArrow(frugal(run), f"`{id_col}` {id_type}, score double")
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -438,4 +438,4 @@ def keep_civil(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             keep = [m.score(t.as_py(), lexicon) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
