@@ -183,6 +183,7 @@ def parse(language: Language, repository: str, path: str, text: str) -> Result:
                 source = declared.get(m["n"]) or (scopes[0][2] if scopes and scopes[0][4] == "class" else b.file)
                 b.fact(edge, source, m["b"].strip('"'), "" if "/" in m["b"] else ("interface" if edge == "implements" else "class"), n)
     calls = re.compile(r"(?<![\w.])((?:\w+\.)*\w+)\(")
+    variables: dict[str, dict[str, str]] = {}  # function id -> name -> type, as far as it is written
     for n, line in enumerate(lines, 1):
         owner = next((s for s in reversed(scopes) if s[0] <= n <= s[1] and s[4] in ("function", "method", "test")), None)
         source = owner[2] if owner else b.file
@@ -209,6 +210,7 @@ def parse(language: Language, repository: str, path: str, text: str) -> Result:
             b.fact("subscribes", source, m[2], "event", n)
         if language.name == "go":
             _go_failures(b, source, line, n)
+            _go_codecs(b, source, lines, n, variables.setdefault(source, {}))
         if owner:
             for m in calls.finditer(line):
                 name = m[1]
@@ -242,3 +244,26 @@ def _go_failures(b: Builder, source: str, line: str, n: int) -> None:
         b.fact("propagates_error", source, "error", "type", n, form="return")
     elif m := re.match(r"\s*return (?:.*, )?(Err\w+)$", line):
         b.fact("returns_error", source, m[1], line=n, form="sentinel")
+
+
+TYPED = re.compile(r"\b(\w+)\s*:?=\s*&?(?:\w+\.)?([A-Z]\w*)\{|\bvar (\w+) \*?(?:\w+\.)?([A-Z]\w*)\b|[(,]\s*(\w+) \*?(?:\w+\.)?([A-Z]\w*)(?=\s*[,)])")
+CODEC = re.compile(r"\b(?:proto|protojson|prototext)\.(Marshal|Unmarshal)\(")
+
+
+def _go_codecs(b: Builder, source: str, lines: list[str], n: int, types: dict[str, str]) -> None:
+    """Messages that a function encodes or decodes: the type is that of a literal, or of
+    a variable or parameter whose type is written out in the function."""
+    line = lines[n - 1]
+    for m in TYPED.finditer(line):
+        name, kind = next((m[i], m[i + 1]) for i in (1, 3, 5) if m[i])
+        types[name] = kind
+    for m in CODEC.finditer(line):
+        given = _pieces(_bracketed(lines, n - 1, m.end() - 1))
+        encodes = m[1] == "Marshal"
+        if len(given) <= (not encodes):
+            continue
+        argument = given[0 if encodes else 1]
+        literal = re.match(r"&?(?:\w+\.)?([A-Z]\w*)\{", argument)
+        kind = literal[1] if literal else types.get(argument.lstrip("&*"), "")
+        if kind:
+            b.fact("encodes" if encodes else "decodes", source, kind, "type", n, codec="protobuf")

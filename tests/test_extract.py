@@ -123,3 +123,12 @@ def test_members_and_data_flow(path, fields, parameters, flows):
     assert of("field") == fields and of("parameter") == parameters
     assert {(f["kind"], names[f["from_id"]]) for f in found.facts if f["kind"] in ("passes", "returns", "embeds")} == flows
     assert len([f for f in found.facts if f["kind"] == "has_field"]) == len(fields)
+
+
+def test_go_codecs():
+    text = "package a\n\nfunc Send(order *pb.Order) []byte {\n\tdata, _ := proto.Marshal(order)\n\treturn data\n}\n\nfunc Read(data []byte) {\n\tvar got pb.Receipt\n\tproto.Unmarshal(data, &got)\n\tproto.Unmarshal(data, other)\n\tproto.Marshal(&pb.Ack{Ok: true})\n}\n"
+    found = parse_file("r", "a/x.go", text)
+    names = {n["id"]: n["qualified_name"] for n in found.nodes}
+    got = {(names[f["from_id"]], f["kind"], f["target"], f["line"]) for f in found.facts if f["kind"] in ("encodes", "decodes")}
+    assert got == {("a/x.Send", "encodes", "Order", 4), ("a/x.Read", "decodes", "Receipt", 10), ("a/x.Read", "encodes", "Ack", 12)}
+    assert all(f["target_kind"] == "type" for f in found.facts if f["kind"] == "encodes")
