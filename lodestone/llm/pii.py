@@ -264,12 +264,17 @@ _FIELD: Field | None = None
 
 
 def field() -> Field:
-    global _FIELD
+    """The trained field; a task uses the driver's (``use``)."""
     if _FIELD is None:
-        _FIELD = Field().train(labelled_runs())
+        use(Field().train(labelled_runs()))
     return _FIELD
 
 
+def use(trained: Field) -> None:
+    global _FIELD
+    _FIELD = trained
+
+
 def digit_runs(text: str) -> list[tuple[list[tuple[int, int]], list[list[str]]]]:
     """Runs of neighbouring digit words on one line, with the groups of capitals
     that follow an IBAN's first word: their places and features."""
@@ -433,8 +438,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the base spans and all spans. A narrow map without a shuffle."""
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
+    trained = field()  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(trained)
         for batch in batches:
             names = [*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]
             cols: dict[str, list] = {k: [] for k in names}
