@@ -47,8 +47,9 @@ class Engine:
         report.add("discover", files)
         nodes, facts, problems = extract(files, config.get("adapters"))
         report.add("extract", nodes)
-        for name in roots:
-            n, f = discover.components(spark, files.where(F.col("repository") == name), name, config)
+        for name, path in roots.items():
+            about = {} if "://" in path and not path.startswith("file://") else discover.project(path.removeprefix("file://"))
+            n, f = discover.components(spark, files.where(F.col("repository") == name), name, config, about)
             nodes, facts = nodes.unionByName(n), facts.unionByName(f)
         nodes, facts = stored(nodes.dropDuplicates(["repository", "id"]), "nodes"), stored(facts.dropDuplicates(["id"]), "facts")
         report.add("facts", facts)

@@ -124,17 +124,18 @@ def read_files(spark: SparkSession, root: str, repository: str, include: list[st
     return listed.mapInPandas(run, "repository string, path string, content string, size long, modified_ns long, hash string, skipped string")
 
 
-def components(spark: SparkSession, files: DataFrame, repository: str, config: dict) -> tuple[DataFrame, DataFrame]:
+def components(spark: SparkSession, files: DataFrame, repository: str, config: dict, about: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, facts) of the workspace: the repository and its files, its components, and
-    which files each contains (root ``.``, the file itself, or a folder prefix)."""
+    which files each contains (root ``.``, the file itself, or a folder prefix).
+    ``about`` are properties of the repository, such as its branch and commit."""
     from ..functions.ids import py_stable_id, stable_id
     from ..vocab import FACTS, NODES, WORKSPACE_OWNER
 
-    def node(kind: str, name: str, qualified: str) -> tuple:
-        return (repository, py_stable_id("n", kind, qualified), kind, name, qualified, "", "", 0, 0, 0, {}, WORKSPACE_OWNER, False)
+    def node(kind: str, name: str, qualified: str, properties: dict[str, str] | None = None) -> tuple:
+        return (repository, py_stable_id("n", kind, qualified), kind, name, qualified, "", "", 0, 0, 0, properties or {}, WORKSPACE_OWNER, False)
 
     parts = [(c["name"], c["root"].strip("/") or ".") for c in config.get("components", [])]
-    repo = node("repository", repository, f"repository:{repository}")
+    repo = node("repository", repository, f"repository:{repository}", {k: v for k, v in (about or {}).items() if v})
     own = [node("component", n, f"component:{repository}:{n}") for n, _ in parts]
     nodes = spark.createDataFrame([repo, *own], NODES)
     roots = spark.createDataFrame([(c[1], root) for c, (_, root) in zip(own, parts, strict=True)], "component string, root string")

@@ -114,6 +114,8 @@ def test_evidence_and_ledger(spark, tmp_path):
     made = Engine.index(spark, {"r": str(src)}, store)
     assert [r.phase for r in made.report.collect()] == ["discover", "extract", "facts", "resolve", "publish"]
     assert {(r.path, r.skipped) for r in made.skipped.collect()} == {("big.bin", "binary")}
+    about = made.nodes.where("kind = 'repository'").first().properties
+    assert about["root"].endswith("src") and "branch" not in about
     held = made.facts.where("kind = 'contains'").collect()
     assert len(held) == 2 and all(f.from_id.startswith("n:") for f in held)
     before = store.read()
