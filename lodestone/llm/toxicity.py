@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, hash_sample
+from .common import frugal, hash_sample, stored
 
 TOKEN = re.compile(r"[^\W_]+|[.!?;\n]+|[\x02\x03]")
 MARKS = re.compile("[\"«»“”„\n]")
@@ -356,7 +356,7 @@ def fit(labelled: DataFrame, text_col: str = "text", toxic_col: str = "toxic", i
     """Learn the lexicon and the arc weights from rows of (id, text, toxic)."""
     known = labelled.where(F.col(toxic_col).isin(0, 1) & F.col(text_col).isNotNull())
     rows = known.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), (F.col(toxic_col) == 1).alias("y"))
-    rows = hash_sample(rows, ["i", "t"], max_rows).select("t", "y")
+    rows = stored(hash_sample(rows, ["i", "t"], max_rows).select("t", "y"), "labelled")  # read five times
     totals = rows.agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).first()
     n_toxic, n_clean = totals["a"], totals["b"]
     none = Model({}, {}, np.zeros(2 * len(TAPES)), -40.0)
