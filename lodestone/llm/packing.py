@@ -38,10 +38,13 @@ Encoder = Callable[[list[str]], list[array]]
 # Where a byte-level pre-tokenizer cuts whatever else the text holds: before a single
 # space between two other characters.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# Closing marks that are a piece of their own behind a letter and before white space.
+CLOSING = frozenset("!#$%&*,.:;?")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 @functools.cache
-def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 120_000) -> Encoder:
+def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder:
     """Ids of a byte-level BPE ``tokenizer.json``, each text followed by
     ``end_id``, as arrays of unsigned 32-bit integers.
 
@@ -66,6 +69,7 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 120_000) -> Encoder
     # The byte-level form of a space is U+0120.
     begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
+    tails = {c: array("I", library.encode(c, add_special_tokens=False).ids).tobytes() for c in CLOSING} if apart else {}
     spaced, alone = Recent(most), Recent(most)  # words after a space; other pieces
 
     def cut(text: str) -> tuple[list[str], list[str]]:
@@ -114,7 +118,13 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 120_000) -> Encoder
                     pieces.update(parts[i][0])
             fresh -= odd
         fresh_alone = alone.miss(pieces)
-        learn(list(fresh))
+        # A word and its closing mark are two pieces, and the word is often known.
+        closed = [w for w in fresh if w[-1] in CLOSING and w[-2:-1] in LETTERS]
+        stems = spaced.miss({w[:-1] for w in closed})
+        learn(list(fresh.difference(closed) | stems))
+        now = spaced.now
+        now.update([(w, now[w[:-1]] + tails[w[-1]]) for w in closed])
+        fresh |= stems
         learn_alone(list(fresh_alone))
         out = []
         for p, w in parts:
