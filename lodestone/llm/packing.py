@@ -57,10 +57,13 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
     encoded whole.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     spec = json.load(open(path, encoding="utf-8"))
     library = Tokenizer.from_file(path)
+    letters = Tokenizer(library.model)
+    letters.pre_tokenizer = WhitespaceSplit()
     special = [t["content"] for t in spec["added_tokens"]]
     before = spec["pre_tokenizer"] or {}
     apart = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
@@ -87,13 +90,18 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
         return [first, *[" " + w for w in others]], []
 
     def learn(words: list[str], group: int = 200) -> None:
-        lines = [words[at : at + group] for at in range(0, len(words), group)]
-        for lo in range(0, len(lines), 50):  # the library's results are large
-            some = lines[lo : lo + 50]
-            for line, e in zip(some, library.encode_batch_fast([" " + " ".join(w) for w in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                data, at = ids.tobytes(), (np.flatnonzero(begins[ids]) * 4).tolist()
-                spaced.now.update(zip(line, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
+        # A word of plain letters is one piece, whose bytes are its letters: the library's
+        # model takes it as it is, without its pre-tokenizer.
+        plain = {w for w in words if w.isascii() and w.isalpha()}
+        for encoder, mark, some in ((letters, "\u0120", list(plain)), (library, "", [w for w in words if w not in plain])):
+            lines = [some[at : at + group] for at in range(0, len(some), group)]
+            for lo in range(0, len(lines), 50):  # the library's results are large
+                part = lines[lo : lo + 50]
+                joined = [("" if mark else " ") + mark + (" " + mark).join(line) for line in part]
+                for line, e in zip(part, encoder.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                    ids = np.array(e.ids, "<u4")
+                    data, at = ids.tobytes(), (np.flatnonzero(begins[ids]) * 4).tolist()
+                    spaced.now.update(zip(line, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
     def learn_alone(words: list[str]) -> None:
         for lo in range(0, len(words), 4_000):
@@ -168,7 +176,7 @@ class Windows:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open_room long"
 
 
-def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, bytes_at_once: int = 1 << 19) -> DataFrame:
+def _pieces(docs: DataFrame, encoder: Callable[[], Encoder], capacity: int, most: int, with_ids: bool, id_col: str, text_col: str, bytes_at_once: int = 1 << 20) -> DataFrame:
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {PIECE}" + ", ids array<long>" * with_ids
