@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import under_prefix
+from ..plans.scratch import kept_small
 from ..vocab import DATA_KINDS, PUBLIC_CONFIG_PROPERTIES
 from .traverse import bounded
 
@@ -49,8 +50,9 @@ def relation_sites(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, rela
     me, other = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
     e = edges.where(F.col("kind").isin(*relations)).select(F.col(me).alias("subject"), F.col(other).alias("node_id"), F.col("kind").alias("edge_kind"), F.col("id").alias("edge_id"), "fact_id", F.col("path").alias("site_path"), F.col("line").alias("site_line"))
     e = e.join(subjects.select(F.col("id").alias("subject")).distinct(), "subject", "left_semi")
-    e = bounded(e, ["subject", "edge_kind"], ["node_id", "fact_id"], limit)
-    far = nodes.groupBy(F.col("id").alias("node_id")).agg(F.min_by(F.struct("repository", "kind", "name", "qualified_name", "external"), F.struct("external", "repository")).alias("n"))
+    e = kept_small(bounded(e, ["subject", "edge_kind"], ["node_id", "fact_id"], limit), "sites")
+    near = kept_small(e.select(F.col("node_id").alias("id")).distinct(), "counterparts")
+    far = nodes.join(near, "id", "left_semi").groupBy(F.col("id").alias("node_id")).agg(F.min_by(F.struct("repository", "kind", "name", "qualified_name", "external"), F.struct("external", "repository")).alias("n"))
     names = F.element_at(F.create_map(*[F.lit(x) for p in relations.items() for x in p]), F.col("edge_kind"))
     return e.join(far, "node_id").select("subject", names.alias("relation"), "edge_id", "fact_id", "node_id", "n.repository", "n.kind", "n.name", "n.qualified_name", "n.external", "site_path", "site_line", "truncated")
 

@@ -7,6 +7,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Shuffle files go when the execution that wrote them ends, not when the driver
+#: happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows up to which a stored table is broadcast to a join.
+SMALL = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,5 +45,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     atexit.register(remove_dir, spark, path)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)  # ids are hex digits: half as long
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_small(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` stored, and marked for broadcast if it has at most ``SMALL`` rows, so that
+    the other side of a join is not shuffled for it."""
+    kept = stored(df, tag)
+    return F.broadcast(kept) if kept.limit(SMALL + 1).count() <= SMALL else kept
