@@ -1,7 +1,10 @@
 import os
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions import ids
 from lodestone.plans import fixture, queries, scratch
 
 SMALL = "/root/testdata/sf0.001"
@@ -54,3 +57,31 @@ def test_lines_dealt_once_are_the_same_facts(spark):
 def test_stored_rows_are_compressed(spark):
     path = scratch.stored(spark.range(1000).groupBy("id").count(), "t").inputFiles()[0]
     assert ".zstd." in os.path.basename(path)
+
+
+def test_narrow_rows_are_the_same_facts(spark):
+    g = fixture.graph(spark, SMALL)
+    columns = ["id", "from_id", "kind", "target_id", "target", "target_kind", "path", "line"]
+    for kinds in (("calls", "handled_by"), ("contains", "declares", "publishes"), ("reads", "returns_error")):
+        a = fixture.spelled(g._rows(*kinds)).select(*columns)
+        b = spark.sql(fixture.Sql(fixture.SPARK).facts()).where(F.col("kind").isin(*kinds)).select(*columns)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+
+
+def test_find_resolves_only_what_the_term_can_name(spark, kept):
+    g = fixture.graph(spark, SMALL)
+    rows = g.externals_of(holding="Red_W").collect()
+    assert rows and all(re.search("red.w", r["qualified_name"].lower()) for r in rows)
+    assert "ended" not in kept
+
+
+def test_digest_sorts_within_tasks(spark):
+    frame = queries.QUERIES["a11_evidence_digest"](spark, SMALL)
+    assert "rangepartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_ids_come_back(spark):
+    texts = ["n:0123456789abcdef0123", "n:missing", "", "repository:x", "N:0123456789ABCDEF0123"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.packed(F.col("t")).alias("p"))
+    assert all(r["t"] == r["u"] for r in rows.withColumn("u", ids.unpacked(F.col("p"))).collect())
+    assert rows.where(F.col("p").isNotNull()).select("p").distinct().count() == len(texts)
