@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import remove_dir, shared_dir, stored
 
-__all__ = ["Recent", "crc_mod", "filesystem", "fresh_dir", "frugal", "hash_sample", "read_batches", "shared_dir", "stored", "table"]
+__all__ = ["Recent", "crc_mod", "filesystem", "forgotten_with", "fresh_dir", "frugal", "hash_sample", "read_batches", "shared_dir", "stored", "table"]
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
@@ -52,18 +53,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+#: What lets go of the memos that this process keeps for an operator's next task, and
+#: the operator they are kept for.
+_FORGET: list[Callable[[], object]] = []
+_SERVED: list[str] = []
+
+
+def forgotten_with(forget: Callable[[], object]) -> None:
+    """Has ``forget`` called in a worker when another operator's task begins there."""
+    _FORGET.append(forget)
+
+
+def serve(operator: str) -> None:
+    """Notes whose task begins in this worker. What it held for another operator goes:
+    memos, and models that refer to themselves and wait for the collector."""
+    if _SERVED != [operator]:
+        for forget in _FORGET:
+            forget()
+        if _SERVED:
+            gc.collect()
+            release()
+        _SERVED[:] = [operator]
+
+
+def release() -> None:
+    """Gives this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """A batch function that gives its worker's free memory back when a task ends:
-    workers live as long as their executor, and their share of it is small."""
+    """A batch function that gives its worker's free memory back when a task ends, and
+    what was kept for another operator when one begins: workers live as long as their
+    executor, and their share of it is small."""
+    operator = f"{run.__module__}.{run.__qualname__}"
 
     def wrapped(batches: Batches) -> Batches:
+        serve(operator)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            release()
 
     return wrapped
 

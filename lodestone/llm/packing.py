@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, frugal, stored
+from .common import Recent, forgotten_with, frugal, stored
 
 Encoder = Callable[[list[str]], list[array]]
 
@@ -148,6 +148,9 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
     return encode
 
 
+forgotten_with(byte_bpe_encoder.cache_clear)
+
+
 class Windows:
     """Open windows of one task: at most ``most``, kept sorted by their room."""
 

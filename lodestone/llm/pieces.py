@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent, frugal
+from .common import Recent, forgotten_with, frugal
 
 MARK = "\u2581"
 # Fixed values of the format: piece types and model types.
@@ -215,6 +215,9 @@ def codec_of(path: str) -> Codec:
     return Codec(path)
 
 
+forgotten_with(codec_of.cache_clear)
+
+
 def encode_texts(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_ids, ids_crc32, parity, round_trip (decoding
     gives back the text as the model normalises it) and with ``with_ids`` the ids."""

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 import zlib
 from array import array
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import langid, packing, pieces, pii, queries, secrets, toxicity
+from lodestone.llm import common, langid, packing, pieces, pii, queries, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
@@ -433,6 +434,17 @@ def bpe():
     return packing.byte_bpe_encoder(path), Tokenizer.from_file(path)
 
 
+def test_workers_forget_what_another_operator_kept():
+    encode, _ = bpe()
+    common.serve("first")
+    packing.byte_bpe_encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    scorer = weakref.ref(langid.Scorer(langid.Model({"en": {"the": 3}, "de": {"das": 3}})))
+    common.serve("first")
+    assert packing.byte_bpe_encoder.cache_info().currsize == 1
+    common.serve("second")  # the scorer refers to itself: only the collector frees it
+    assert packing.byte_bpe_encoder.cache_info().currsize == 0 and scorer() is None
+
+
 # ---- sentence pieces ---------------------------------------------------------------
 
 
