@@ -15,7 +15,9 @@ rows are packed each; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import codecs
 import functools
+import gc
 import json
 import os
 import re
@@ -38,9 +40,26 @@ Encoder = Callable[[list[str]], list[array]]
 # Where a byte-level pre-tokenizer cuts whatever else the text holds: before a single
 # space between two other characters.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-# Closing marks that are a piece of their own behind a letter and before white space.
-CLOSING = frozenset("!#$%&*,.:;?")
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+# Marks that are a piece of their own behind a letter and before white space, however many.
+CLOSING = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MOST_LATIN = "\xff"
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = iter(range(256, 512))
+#: What a byte-level vocabulary writes for each byte, but a space that stays one.
+BYTE_LEVEL = "".join(chr(b if b in _SHOWN else next(_HIDDEN)) for b in range(256)).replace("\u0120", " ")
+
+
+def lines_of(word: str) -> list[str]:
+    """The word cut at single line ends inside it, each a piece of its own; uncut where
+    other white space is beside one."""
+    lines = word.split("\n")
+    return lines if all(w and w == w.strip() for w in lines) else [word]
+
+
+def stem_of(word: str) -> str:
+    """The word without its closing marks, if a letter is before them."""
+    stem = word.rstrip(CLOSING)
+    return stem if stem and stem[-1].isalpha() and stem[-1] <= MOST_LATIN else word
 
 
 @functools.cache
@@ -72,7 +91,7 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
     # The byte-level form of a space is U+0120.
     begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
-    tails = {c: array("I", library.encode(c, add_special_tokens=False).ids).tobytes() for c in CLOSING} if apart else {}
+    line_end = array("I", library.encode("\n", add_special_tokens=False).ids).tobytes()
     spaced, alone = Recent(most), Recent(most)  # words after a space; other pieces
 
     def cut(text: str) -> tuple[list[str], list[str]]:
@@ -90,19 +109,23 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
         return [first, *[" " + w for w in others]], []
 
     def learn(words: list[str], group: int = 200) -> None:
-        # A word of plain letters is one piece, whose bytes are its letters: the library's
-        # model takes it as it is, without its pre-tokenizer.
-        plain = {w for w in words if w.isascii() and w.isalpha()}
+        # A word of letters is one piece: the library's model takes its bytes as they are,
+        # without its pre-tokenizer.
+        plain = {w for w in words if w.isalpha() and (w.isascii() or max(w) <= MOST_LATIN)}
         for encoder, mark, some in ((letters, "\u0120", list(plain)), (library, "", [w for w in words if w not in plain])):
             lines = [some[at : at + group] for at in range(0, len(some), group)]
             for lo in range(0, len(lines), 50):  # the library's results are large
                 part = lines[lo : lo + 50]
-                joined = [("" if mark else " ") + mark + (" " + mark).join(line) for line in part]
+                joined = [byte_level(" ".join(line)) if mark else " " + " ".join(line) for line in part]
                 for line, e in zip(part, encoder.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                     ids = np.array(e.ids, "<u4")
                     data, at = ids.tobytes(), (np.flatnonzero(begins[ids]) * 4).tolist()
                     spaced.now.update(zip(line, [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
+    def byte_level(line: str) -> str:
+        shown = line if line.isascii() else codecs.charmap_decode(line.encode(), "strict", BYTE_LEVEL)[0]
+        return "\u0120" + shown.replace(" ", " \u0120")
+
     def learn_alone(words: list[str]) -> None:
         for lo in range(0, len(words), 4_000):
             some = words[lo : lo + 4_000]
@@ -110,6 +133,16 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
                 alone.now[word] = array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[array]:
+        # Nothing here refers to itself, and there are many lists for the collector to follow.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return encode_all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def encode_all(texts: list[str]) -> list[array]:
         spaced.turn()
         alone.turn()
         parts = [cut(t) for t in texts]
@@ -125,24 +158,32 @@ def byte_bpe_encoder(path: str, end_id: int = 0, most: int = 250_000) -> Encoder
                     parts[i] = cut_unevenly(texts[i])
                     pieces.update(parts[i][0])
             fresh -= odd
+        # Most new words are known ones with closing marks, or two with a line end between.
+        broken = {w: lines_of(w) for w in fresh if "\n" in w} if apart else {}
+        broken = {w: lines for w, lines in broken.items() if len(lines) > 1}
+        whole = fresh.difference(broken)
+        whole |= spaced.miss({lines[0] for lines in broken.values()})
+        pieces.update(line for lines in broken.values() for line in lines[1:])
+        ends = [w for w in whole if not w[-1].isalnum()]
+        shorter = list(map(stem_of, ends))
+        closed = [(w, stem, w[len(stem) :]) for w, stem in zip(ends, shorter, strict=True) if stem is not w]
+        stems = spaced.miss({stem for _, stem, _ in closed})
+        pieces.update([marks for _, _, marks in closed])
         fresh_alone = alone.miss(pieces)
-        # A word and its closing mark are two pieces, and the word is often known.
-        closed = [w for w in fresh if w[-1] in CLOSING and w[-2:-1] in LETTERS]
-        stems = spaced.miss({w[:-1] for w in closed})
-        learn(list(fresh.difference(closed) | stems))
-        now = spaced.now
-        now.update([(w, now[w[:-1]] + tails[w[-1]]) for w in closed])
-        fresh |= stems
+        learn(list(whole.difference([w for w, _, _ in closed]) | stems))
         learn_alone(list(fresh_alone))
+        now, by_itself = spaced.now, alone.now
+        now.update([(w, now[stem] + by_itself[marks]) for w, stem, marks in closed])
+        now.update([(w, line_end.join([now[first], *map(by_itself.__getitem__, others)])) for w, (first, *others) in broken.items()])
+        fresh |= whole | stems
         out = []
         for p, w in parts:
             ids = array("I", b"".join([*map(alone.now.__getitem__, p), *map(spaced.now.__getitem__, w)]))
             ids.append(end_id)
             out.append(ids)
         for known, some in ((spaced, fresh), (alone, fresh_alone)):
-            for word in some:
-                if len(word) > 64:
-                    del known.now[word]
+            for word in [w for w in some if len(w) > 64]:
+                del known.now[word]
         return out
 
     return encode

@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -434,6 +435,15 @@ def bpe():
     return packing.byte_bpe_encoder(path), Tokenizer.from_file(path)
 
 
+def test_byte_bpe_words_are_cut_at_marks_and_line_ends():
+    assert [packing.stem_of(w) for w in ("caf\xe9.\"", "dogs'", "x_y***", "7%", "it's", "...", "\u6f22.")] == ["caf\xe9", "dogs", "x_y", "7%", "it's", "...", "\u6f22."]
+    assert packing.lines_of("the.\nIn") == ["the.", "In"] and all(packing.lines_of(w) == [w] for w in ("a\n\nb", "a\r\nb", "a \nb", "ab"))
+    encode, library = bpe()
+    words = ["on\xe9%%%", "the.\nIn", "a,\nB***\n\xc9t\xe9!?", "o'\n's", "x\n\ny.", "\xb5\xaa", "q\r\nz", "it's--", "(\n)"]
+    texts = [" ".join(p) for p in itertools.permutations(words, 3)] + words
+    assert all(list(ids) == [*library.encode(t, add_special_tokens=False).ids, 0] for t, ids in zip(texts, encode(texts), strict=True))
+
+
 def test_workers_forget_what_another_operator_kept():
     encode, _ = bpe()
     common.serve("first")
