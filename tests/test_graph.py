@@ -1,10 +1,12 @@
 import itertools
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import catalog, federation, incremental, match, messageflow, reports, traverse
 from lodestone.operators.resolve import resolve
+from lodestone.plans.scratch import passing, stored
 
 from .graphs import fact, frames, node
 
@@ -128,6 +130,32 @@ def test_incremental_equals_full(spark):
         assert key(e2) == key(full) and {r.id for r in x2.collect()} == {r.id for r in outside.collect()}
 
 
+def test_refresh_stores_new_rows_only(spark, monkeypatch):
+    t, c = node("test", "T", path="t.src"), node("function", "C", "p.C", path="c.src")
+    n, f = frames(spark, [t, c], [fact("calls", t[1], target="C", path="t.src")])
+    e, x = resolve(n, f)
+    tags = []
+    monkeypatch.setattr(incremental, "stored", lambda df, tag: (tags.append(tag), stored(df, tag))[1])
+    gone = spark.createDataFrame([("r", "c.src")], "repository string, path string")
+    n2, f2, _, _ = incremental.refresh(n, f, e, x.select(*n.columns), gone, *frames(spark, [], []))
+    assert not {"nodes", "facts"} & set(tags) and n2.count() == 1 and f2.count() == 1
+
+
+def test_differences_counts_rows_less_and_more(spark):
+    rows = lambda *x: spark.createDataFrame([(i, str(i)) for i in x], "a long, b string")
+    assert incremental.differences(rows(*range(200), 7), rows(*range(199, -1, -1), 7)) == (0, 0)
+    assert incremental.differences(rows(1, 2, 2, 3), rows(2, 3, 3, 4, 5)) == (2, 3)
+    assert incremental.differences(rows(), rows(1)) == (0, 1)
+
+
+def test_tables_of_a_block_go_with_it(spark):
+    with passing(spark):
+        inner, outer = stored(spark.range(5), "t"), stored(spark.range(5), "t", lasting=True)
+        paths = [t.inputFiles()[0].removeprefix("file://") for t in (inner, outer)]
+        assert inner.count() == 5
+    assert not os.path.exists(paths[0]) and os.path.exists(paths[1]) and outer.count() == 5
+
+
 def test_evidence_digest_ignores_order(spark):
     rows = [node("function", c) for c in "abc"]
     one, two = (incremental.evidence_digest(*frames(spark, r, [])).first().digest for r in (rows, rows[::-1]))
