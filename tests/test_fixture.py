@@ -68,6 +68,34 @@ def test_narrow_rows_are_the_same_facts(spark):
         assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
 
 
+def test_keys_without_gaps_need_no_join(spark):
+    fixture.registered(spark, SMALL)
+    dense, small = fixture.key_ranges(spark)
+    assert set(dense) == {"part", "supplier"} and small == {"supplier"}
+    names = ["repository", *fixture.NARROW, "kind", "target_id", "target", "target_kind"]
+    facts = lambda **known: spark.sql(fixture.Sql(fixture.SPARK, True, **known).narrow()).select(*names)
+    a, b = facts(), facts(dense=dense, small=small)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+    plan = spark.sql(fixture.Sql(fixture.SPARK, True, dense, small).narrow(("reads_config",)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "s_suppkey" not in plan
+    for table, key in (("part", "p_partkey"), ("supplier", "s_suppkey")):  # with a gap they are joined
+        spark.table(table).where(f"{key} <> 3").createOrReplaceTempView(table)
+    assert fixture.key_ranges(spark)[0] == {}
+
+
+def test_counts_resolve_only_derived_edges(spark, kept):
+    counts = {r.what: r.n for r in queries.QUERIES["a5_federated_counts"](spark, SMALL).collect()}
+    assert "ended" not in kept
+    g = fixture.graph(spark, SMALL)
+    assert counts == {"nodes": g.nodes.count(), "facts": g.facts.count(), "edges": g.edges.count()}
+
+
+def test_term_that_no_id_holds_reads_no_called_orders(spark):
+    g = fixture.graph(spark, SMALL)
+    held = lambda term: g._rows("calls", "declares", holding=term).where("target_id <> ''").count()
+    assert held("blue") == 0 < held("n:a") and held("%") == held("")
+
+
 def test_find_resolves_only_what_the_term_can_name(spark, kept):
     g = fixture.graph(spark, SMALL)
     rows = g.externals_of(holding="Red_W").collect()
