@@ -108,6 +108,12 @@ def test_digest_sorts_within_tasks(spark):
     assert "rangepartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_refresh_goes_by_parts_of_large_tables_only():
+    one, many = queries.parts_of(5_100_000), queries.parts_of(51_000_000)
+    assert len(one) == 1 and many == queries.PARTS
+    assert set(one[0]) == {r for p in many for r in p} == {r for relations, _ in fixture.GROUPS for r in relations} | {fixture.REQUESTS}
+
+
 def test_packed_ids_come_back(spark):
     texts = ["n:0123456789abcdef0123", "n:missing", "", "repository:x", "N:0123456789ABCDEF0123"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.packed(F.col("t")).alias("p"))
